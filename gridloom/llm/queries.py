@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.shared import table
 
@@ -19,8 +20,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secrets import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 old shards, by a hash of the id, to 40 of equal rows."""
+    from gridloom.llm.reshard import reshard, sized
+
+    placed = reshard(sized(table(spark, sf_dir, "documents"), 32), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.media import features, text_images
+
+    return features(text_images(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_secrets": op4_secrets,
+    "op7_reshard": op7_reshard,
+    "op10_media": op10_media,
 }
 
 #: None of the ten is expressible in SQL at this scale; tests/llm holds each against brute force, a round trip or held-out rows.
