@@ -34,6 +34,12 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.media import features, text_images
 
@@ -44,6 +50,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op4_secrets": op4_secrets,
     "op7_reshard": op7_reshard,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_media": op10_media,
 }
 
