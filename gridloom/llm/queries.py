@@ -20,6 +20,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secrets import digest
 
@@ -48,6 +54,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
     "op7_reshard": op7_reshard,
     "op9_near_duplicates": op9_near_duplicates,
