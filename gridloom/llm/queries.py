@@ -38,6 +38,20 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html_text import fit, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fit(pages))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 old shards, by a hash of the id, to 40 of equal rows."""
     from gridloom.llm.reshard import reshard, sized
@@ -69,6 +83,8 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_html": op5_html,
+    "op6_language": op6_language,
     "op7_reshard": op7_reshard,
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
