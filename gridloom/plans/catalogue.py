@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridloom.plans import grid_queries, relational_queries, series_queries
+from gridloom.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+BOOKS = (series_queries.book, relational_queries.book, grid_queries.book)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for b in BOOKS for k, q in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for b in BOOKS for k, s in b.sql.items()}
