@@ -3,7 +3,7 @@
 A page is a sequence of words and tags. Words score positive and tags negative; a linear scan finds the contiguous run of the highest sum,
 the content region. The scores are log-odds of standing inside or outside the content, learned from labelled pages: those that mark their
 content with an article element. Within the region, what is not content by its markup (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) is left out, as it also scores as tags do.
+adverts, forms, scripts, styles, reader comments) is left out; each such element costs once.
 
 Nulls: a null html is empty and gives an empty text; a null page_id or url is kept. Repeated rows give equal results. Very long pages are read
 whole. Of runs with equal sums the first is taken. Without labelled pages DEFAULT is used. An empty table gives an empty result.
@@ -23,8 +23,8 @@ from gridloom.llm.shared import map_rows
 
 #: Labelled pages that the scores are learned from at most.
 SAMPLE = 400
-#: Scores used without labelled pages: of a word and a tag, and of those that their markup drops (!).
-DEFAULT = {"word": 1.0, "word!": -3.0, "tag": -0.5, "tag!": -3.0}
+#: Scores used without labelled pages, and of what they do not hold: of a word, a tag, and an element that its markup drops.
+DEFAULT = {"word": 1.0, "tag": -0.5, "drop": -3.0}
 LEAST_COST = -0.05
 
 #: Fixed values of HTML: elements that end a block of text; elements without an end tag; elements whose content is no text.
@@ -95,7 +95,8 @@ def units(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Scores from pages with an article element: the log-odds of standing inside it, above 0 for words and below for tags; ! marks dropped units."""
+    """Scores from pages with an article element: the log-odds of standing inside it, above 0 for words and below for tags. What markup
+    drops is not counted, as it gives no text either way."""
     inner, outer = Counter(), Counter()
     for page in pages:
         own = units(page)
@@ -103,28 +104,31 @@ def learn(pages: list[str]) -> dict[str, float]:
             continue
         for name, text, dropped, inside in own:
             n = len(_WORD.findall(text)) if name == "word" else 1
-            (inner if inside and not dropped else outer)[name + "!" * dropped] += n
+            if not dropped:
+                (inner if inside else outer)[name] += n
     if not inner or not outer:
         return dict(DEFAULT)
     total, other = sum(inner.values()), sum(outer.values())
     score = {}
     for name in {*inner, *outer}:
         odds = math.log((inner[name] + 0.5) / (total + 1)) - math.log((outer[name] + 0.5) / (other + 1))
-        score[name] = min(3.0, max(0.2, odds)) if name == "word" else max(-8.0, min(LEAST_COST, odds))
-    return DEFAULT | score | {"word!": DEFAULT["word!"]}
+        score[name] = min(1.0, max(0.2, odds)) if name == "word" else max(-8.0, min(LEAST_COST, odds))
+    return DEFAULT | score
 
 
 def extract(page: str | None, score: dict[str, float]) -> str:
     """The text of the page's content region: its blocks, joined by empty lines."""
     own = units(page or "")
     best, start, end = 0.0, 0, 0
-    run, since = 0.0, 0
+    run, since, before = 0.0, 0, False
     for k, (name, text, dropped, _) in enumerate(own):
-        if name == "word":
-            run += score["word!"] * bool(text.strip()) if dropped else score["word"] * len(_WORD.findall(text))
+        if dropped:  # one cost for a dropped element, however large, as it gives no text
+            run += 0.0 if before else score["drop"]
+        elif name == "word":
+            run += score["word"] * len(_WORD.findall(text))
         else:
-            mark = "!" * dropped
-            run += score.get(name + mark, score["tag" + mark])
+            run += score.get(name, score["tag"])
+        before = dropped
         if run <= 0:
             run, since = 0.0, k + 1
         elif run > best:
