@@ -44,7 +44,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first = np.cumsum(length) - length
     inside = np.arange(len(code)) - np.repeat(first, length)
     grams = np.zeros((ORDER + 1, len(code)), np.uint64)
-    for n in range(1, ORDER + 1):  # hash of the n characters that end at each place, from those of n - 1 that end there
+    for n in range(1, min(ORDER, len(code)) + 1):  # hash of the n characters that end at each place, from those of n - 1 that end there
         grams[n, n - 1 :] = mix(grams[n - 1, n - 1 :] + (code[: len(code) - n + 1] + np.uint64(1)) * _SEED + np.uint64(n))
     here = np.flatnonzero(inside > 0)
     orders = np.minimum(inside[here] + 1, ORDER)
