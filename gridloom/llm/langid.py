@@ -3,8 +3,8 @@
 For each language, the character n-grams of its training words, with a space before and after, make a model of orders 1 to ORDER: the
 highest order has counts, the lower ones numbers of distinct left neighbours (counts where a word begins), each with its own discount, all
 interpolated. The n-grams of all languages are one sorted array of hashes with a column of discounted probabilities for each language; the
-contexts are another, with the weights left for the lower order. A text's cross-entropy in a language is the mean over its characters; the
-language of the lowest is chosen. A batch's distinct words are scored once, and remembered by the worker.
+contexts are another, with the weights left for the lower order. A text's cross-entropy in a language is the mean over its words'
+characters, numbers apart; the language of the lowest is chosen. A batch's distinct words are scored once, and remembered by the worker.
 
 The models are fitted on at most SAMPLE documents of each language, the first by a hash of doc_id, of those whose crc32(doc_id) mod 5 is
 not 0; the rest of the corpus is scored, whole. `rejects` is calibrated on the same documents: a text is rejected if its cross-entropy
@@ -30,7 +30,7 @@ from gridloom.llm.shared import Words, fold, map_rows, mix
 ORDER = 5
 #: Training documents of each language at most.
 SAMPLE = 1000
-REJECT_FACTOR = 1.3
+REJECT_FACTOR = 1.5
 REMEMBERED = 1_000_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,7 +155,8 @@ class Scorer:
             buf = words.buf.tobytes()
             own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())]
             bits, size = self.model.bits(own)
-            value[new] = np.column_stack([bits, size])
+            spoken = np.array([not w.isdigit() for w in own], float)[:, None]
+            value[new] = np.column_stack([bits, size]) * spoken
             self.late = self._merged(self.late, (key[new], value[new]))
             if len(self.late[0]) > 20_000 + len(self.keys) // 4:
                 self.keys, self.values = self._merged((self.keys, self.values), self.late)
@@ -187,12 +188,13 @@ def fit(docs: DataFrame) -> Model | None:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         texts = rows["text"].tolist()
         words = Words(texts)
-        key, first, count = np.unique(words.hash, return_index=True, return_counts=True)
-        if not len(key):
-            return pd.DataFrame({"lang": [], "part": []})
+        _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
         buf = words.buf.tobytes()
         own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        part = train(own, count)
+        spoken = [k for k, w in enumerate(own) if not w.isdigit()]
+        if not spoken:
+            return pd.DataFrame({"lang": [], "part": []})
+        part = train([own[k] for k in spoken], count[spoken])
         model = Model.of({"x": part})
         entropy = Scorer(model).entropies(texts)[:, 0]
         worst = float(entropy[np.isfinite(entropy)].max())

@@ -131,3 +131,12 @@ def test_words_equal_a_regex():
     assert own == [re.findall(r"[0-9a-z\u0080-￿]+", (t or "").lower()) for t in texts]
     same = Words(["world", "WORLD hello"])
     assert same.hash[0] == same.hash[1] == words.hash[1] and same.hash[2] == words.hash[0]
+
+
+def test_foreign_scripts_are_rejected_and_numbers_are_not(tables, docs_of):
+    docs, _ = tables
+    model = langid.fit(docs)
+    own = docs.filter("lang = 'en' and n_chars > 400").first()["text"][:60]
+    rows = [("это совсем другой язык, которого модель не знает", None), (own + " 4284896609045836 25.102.19.31 +1 (208) 555-1177 123456789", None), ("1234 5678", None)]
+    got = [r["rejected"] for r in langid.identify(docs_of(rows), model).orderBy("doc_id").collect()]
+    assert got == [True, False, True]
