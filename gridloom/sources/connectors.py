@@ -38,7 +38,7 @@ class Connector:
 
 def _at(day: str, hour: str, less: int = 0) -> str:
     """SQL of a day's text and an hour's number."""
-    return f"timestamp_ntz(date({day})) + make_dt_interval(0, int({hour}) - {less})"
+    return f"cast(cast({day} as date) as timestamp_ntz) + make_dt_interval(0, int({hour}) - {less})"
 
 
 def _drop_last(order: str) -> Callable[[DataFrame], DataFrame]:

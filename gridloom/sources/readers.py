@@ -24,7 +24,7 @@ def csv(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str =
     if not skip:
         return spark.read.schema(schema).option("sep", sep).option("header", header).options(**options).csv(path)
     paths = [path] if isinstance(path, str) else list(path)
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).filter((F.col("n") >= skip + int(header)) & (F.trim("line") != ""))
     return lines.select(F.from_csv("line", schema, {"sep": sep} | options).alias("r")).select("r.*")
 
