@@ -10,8 +10,6 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import average_rank  # noqa: F401  (part of the features' vocabulary)
-
 #: The record's fields, their types, and the range that each must be in.
 RECORD = {
     "is_weekend": ("int", 0, 1),
@@ -96,3 +94,17 @@ def denormalize(predicted: DataFrame, annual: DataFrame, code: str = "code", pre
 def score(records: DataFrame, model: PipelineModel) -> DataFrame:
     """Batch inference on valid records."""
     return model.transform(validated(records)[0]).drop("features")
+
+
+def load(path: str) -> PipelineModel:
+    """The saved model; a path without one is a RuntimeError."""
+    try:
+        return PipelineModel.load(path)
+    except Exception as e:
+        raise RuntimeError(f"no model at {path}") from e
+
+
+def without_null_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """df without the columns that hold any null, by one aggregation; columns to keep stay."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    return df.select(*[c for c in df.columns if c in keep or not row[c]])

@@ -271,3 +271,81 @@ def lookup_by_year(t: Tables) -> DataFrame:
 @book.add("SELECT event_id, (ts + INTERVAL 90 MINUTE) AS shifted, date_trunc('second', ts + INTERVAL 500 MILLISECOND)::TIMESTAMP AS rounded FROM events")
 def label_shift(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.hours(F.col("ts"), 1.5).alias("shifted"), T.round_second(F.col("ts")).alias("rounded"))
+
+
+@book.add("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1 ORDER BY n DESC, 1")
+def value_counts(t: Tables) -> DataFrame:
+    return t.events.groupBy("event_type").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "event_type")
+
+
+@book.add("SELECT min(year(o_orderdate))::BIGINT AS lo, max(year(o_orderdate))::BIGINT AS hi, count(DISTINCT year(o_orderdate))::BIGINT AS n FROM orders")
+def year_bounds(t: Tables) -> DataFrame:
+    y = F.year("o_orderdate").cast("long")
+    return t.orders.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.count_distinct(y).alias("n"))
+
+
+@book.add("SELECT n_name AS code FROM nation UNION SELECT r_name FROM region")
+def union_distinct(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_name").alias("code")).union(t.region.select("r_name")).distinct()
+
+
+@book.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def order_limit(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@book.add("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def exclude_ids(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey").join(t.lineitem.filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@book.add("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id FROM n WHERE r > 1")
+def drop_last_row(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return t.events.withColumn("r", F.row_number().over(order)).filter("r > 1").select("user_id", "event_id")
+
+
+@book.add(
+    """WITH q AS (SELECT n_nationkey AS k, substr(n_name, 1, length(n_name) - 1) AS asked FROM nation), p AS (SELECT k, n_name, levenshtein(asked, n_name) AS d FROM q CROSS JOIN nation)
+ SELECT k::BIGINT AS k, arg_min(n_name, (d, n_name)) AS name FROM p GROUP BY 1"""
+)
+def fuzzy_names(t: Tables) -> DataFrame:
+    """Misspelt names to the nearest of a small dictionary."""
+    asked = t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.expr("substr(n_name, 1, length(n_name) - 1)").alias("asked"))
+    met = asked.crossJoin(F.broadcast(t.nation.select("n_name")))
+    return met.groupBy("k").agg(F.min(F.struct(F.levenshtein("asked", "n_name").alias("d"), F.col("n_name").alias("name")))["name"].alias("name"))
+
+
+@book.add(
+    """WITH d AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 24 AS h FROM orders)
+ SELECT o_orderkey, (date_trunc('day', d) + to_hours(h::BIGINT))::TIMESTAMP AS iso, (date_trunc('day', d) + to_hours(h::BIGINT))::TIMESTAMP AS european, (date_trunc('day', d) + to_hours((h % 12)::BIGINT))::TIMESTAMP AS american FROM d"""
+)
+def time_formats(t: Tables) -> DataFrame:
+    day, h = F.col("o_orderdate"), F.col("o_orderkey") % 24
+    text = lambda form: F.date_format(day, form)
+    iso = F.concat(text("yyyy-MM-dd"), F.lit(" "), F.lpad(h.cast("string"), 2, "0"))
+    european = F.concat(text("dd/MM/yyyy"), F.lit(" "), F.lpad(h.cast("string"), 2, "0"), F.lit(":00:00"))
+    american = F.concat(text("yyyy dd-MMM"), F.lit(" "), F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), F.lit("AM"))
+    parsed = [F.to_timestamp(x, f).cast("timestamp_ntz").alias(n) for x, f, n in ((iso, "yyyy-MM-dd HH", "iso"), (european, "dd/MM/yyyy HH:mm:ss", "european"), (american, "yyyy dd-MMM ha", "american"))]
+    return t.orders.select("o_orderkey", *parsed)
+
+
+@book.add("SELECT year::BIGINT AS year, dayofyear(make_date(year, 12, 31))::BIGINT AS days FROM generate_series(1890, 2110) AS g(year)")
+def leap_years(t: Tables) -> DataFrame:
+    return t._spark.range(1890, 2111).select(F.col("id").alias("year"), T.days_in_year(F.col("id").cast("int")).cast("long").alias("days"))
+
+
+@book.add("WITH n AS (SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages) SELECT page_id, host, regexp_extract(host, '([^.]+)[.]', 1) AS first, host LIKE '%.org' AS org, upper(substr(host, 1, 3)) AS head FROM n")
+def string_functions(t: Tables) -> DataFrame:
+    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    return t.pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+)[.]", 1).alias("first"), host.endswith(".org").alias("org"), F.upper(F.substring(host, 1, 3)).alias("head"))
+
+
+@book.add("WITH p AS (SELECT conv_id, turn, role, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*)::BIGINT AS turns, min(turn - before)::BIGINT AS step, arg_min(role, turn) AS opens FROM p GROUP BY 1")
+def group_steps(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.withColumn("step", F.col("turn") - before).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min("step").alias("step"), F.min_by("role", "turn").alias("opens"))

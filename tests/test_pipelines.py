@@ -1,0 +1,65 @@
+import struct
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.operators import forecast
+from gridloom.plans import pipelines
+from gridloom.sources.shapefile import ShapefileSource
+
+
+def test_retrieve(spark):
+    rows = [("US_TEX", "2024-01-01T05", "1", 2), ("US_TEX", "2024-01-01T05", "9", 1), ("US_TEX", "2024-01-01T06", "0", 3), ("US_TEX", "2024-01-01T07", None, 4)]
+    got = pipelines.retrieve(spark.createDataFrame(rows, "code string, period string, value string, ordinal int"), "eia").collect()
+    assert [tuple(r) for r in got] == [("US_TEX", datetime(2024, 1, 1, 5), 9.0)]
+
+
+def test_temperature_database(spark):
+    hours = [datetime(2020, 1, 1) + timedelta(hours=k) for k in range(48)]
+    weather = spark.createDataFrame([("A", t, y, x, float(10 * y + x + t.hour)) for t in hours for y in (0, 1) for x in (0, 1)], "code string, ts timestamp_ntz, y int, x int, t2m double")
+    population = spark.createDataFrame([(y, x, year, float(5 - y - 2 * x)) for y in (0, 1) for x in (0, 1) for year in (2015, 2019)], "y int, x int, year int, value double")
+    parts = spark.createDataFrame([("A", y, x, 1.0) for y in (0, 1) for x in (0, 1)], "code string, y int, x int, fraction double")
+    zones = spark.createDataFrame([("A", "UTC")], "code string, zone string")
+    out = pipelines.temperature_database(weather, population, parts, zones)
+    first = out.orderBy("ts").first()
+    assert out.count() == 48 and first["top1"] == 0.0 and first["top3"] == pytest.approx((0 + 10 + 1) / 3)
+    assert first["month_rank"] == 1.0 and first["year_avg"] == pytest.approx(11.5) and first["is_weekend"] == 0
+
+
+def test_annual_and_residuals(spark):
+    table = spark.createDataFrame([("FRA", 2020, "Demand", 5.0), ("FRA", 2021, "Demand", 6.0)], "`ISO 3 code` string, Year int, Variable string, Value double")
+    assert pipelines.annual_demand(table, {"Demand": "twh"}, "Europe/Paris").count() == 8784 + 8760
+    a = spark.createDataFrame([(1, 2.0)], "k int, prediction double")
+    b = spark.createDataFrame([(1, 3.5)], "k int, target double")
+    assert pipelines.residuals(a, b, ["k"]).first()["error"] == 1.5
+
+
+def test_projection_with_a_model(spark, tmp_path):
+    train = spark.range(100).select((F.col("id") % 10).cast("double").alias("x"), F.lit(1.0).alias("target"))
+    model = forecast.regressor(["x"], trees=2, depth=2).fit(train)
+    model.save(str(tmp_path / "m"))
+    again = forecast.load(str(tmp_path / "m"))
+    with pytest.raises(RuntimeError):
+        forecast.load(str(tmp_path / "none"))
+    weather = spark.createDataFrame([("A", 2019, 1, 2.0)], "code string, year int, position int, x double")
+    annual = spark.createDataFrame([("A", y, 8.76) for y in range(2020, 2031)], "code string, year int, twh double")
+    out = pipelines.projection(weather, annual.drop("twh"), again, annual, 2020, 2030)
+    assert sorted(r["year"] for r in out.collect()) == [2020, 2025, 2030] and out.first()["load_mw"] == pytest.approx(1000.0)
+    assert forecast.without_null_columns(spark.createDataFrame([(1, None, 2)], "a int, b int, c int")).columns == ["a", "c"]
+
+
+def test_shapefile(spark, tmp_path):
+    ring = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]  # clockwise, as shells are stored
+    body = struct.pack("<i4d2i", 5, 0, 0, 2, 2, 1, 5) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    record = struct.pack(">2i", 1, len(body) // 2) + body
+    empty = struct.pack(">2i", 2, 2) + struct.pack("<i", 0)
+    (tmp_path / "s.shp").write_bytes(b"\0" * 100 + record + empty)
+    field = lambda name, n: name.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([n]) + b"\0" * 15
+    head = field("ID", 4) + field("NAME", 6) + b"\r"
+    rows = b" " + b"A   " + b"Alpha " + b" " + b"B   " + b"Beta  "
+    (tmp_path / "s.dbf").write_bytes(b"\3\0\0\0" + struct.pack("<IHH", 2, 32 + len(head), 11) + b"\0" * 20 + head + rows)
+    spark.dataSource.register(ShapefileSource)
+    got = spark.read.format("shp").option("path", str(tmp_path / "s.shp")).option("code", "ID").option("name", "NAME").load().collect()
+    assert [(r["code"], r["name"], len(r["rings"][0])) for r in got] == [("A", "Alpha", 5)]
+    assert (got[0]["rings"][0][1]["x"], got[0]["rings"][0][1]["y"]) == (2.0, 0.0)
