@@ -21,7 +21,7 @@ LETTER, NUMBER, SPACE, OTHER, STOP = 1, 2, 3, 0, 4
 #: The contractions that the pre-tokenizer's pattern names.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Pieces that are remembered at most; the memory is emptied when there are more.
-REMEMBERED = 1_500_000
+REMEMBERED = 300_000
 
 _ODD = regex.compile(r"[\U00010000-\U0010ffff]").search
 

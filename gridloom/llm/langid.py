@@ -31,7 +31,7 @@ ORDER = 5
 #: Training documents of each language at most.
 SAMPLE = 1000
 REJECT_FACTOR = 1.5
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 

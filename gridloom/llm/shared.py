@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 #: Rows of one Arrow batch; texts can be long.
 BATCH_ROWS = 1000
 #: Bytes of text handled at once inside a batch.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
