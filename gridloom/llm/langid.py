@@ -30,7 +30,7 @@ from gridloom.llm.shared import Words, fold, map_rows, mix
 ORDER = 5
 #: Training documents of each language at most.
 SAMPLE = 1000
-REJECT_FACTOR = 1.5
+REJECT_FACTOR = 2.0
 REMEMBERED = 250_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
