@@ -94,7 +94,7 @@ def featured(rows: DataFrame, features: Features, keyed: bool = False) -> list:
         return {"y": cols["y"], "id": cols["doc_id"], "index": [i.astype("<u4").tobytes() for i, _ in found], "value": [v.astype("<f4").tobytes() for _, v in found]}
 
     got = map_rows(rows.select("doc_id", "text", "y"), "y int, id long, index binary, value binary", run).collect()
-    return [(r["y"], *[r["id"]] * keyed, np.frombuffer(r["index"], "<u4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in sorted(got, key=lambda r: (int(mix(np.array([r["id"]], np.int64).view(np.uint64))[0]), r["id"]))]
+    return [(r["y"], *[r["id"]] * keyed, np.frombuffer(r["index"], "<u4").astype(np.int32), np.frombuffer(r["value"], "<f4")) for r in sorted(got, key=lambda r: (int(mix(np.array([r["id"]], np.int64).view(np.uint64))[0]), r["id"]))]
 
 
 class Tokens(Words):
