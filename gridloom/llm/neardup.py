@@ -8,8 +8,11 @@ pairs of at least the threshold are links. The classes are the links' connected
 
 Equal texts are one node from the start, so copies cost one row each. Within a bucket, members are compared with a centre; members whose
 class is still another one are then compared with further centres, and in buckets of up to SMALL members with every member of another
-class. So a bucket never makes all its pairs, and a link is only left out between members of a large bucket that neither share a class
-nor met in any of the rounds. Hot buckets and hubs are joined by sort-merge, which adaptive execution splits.
+class. The members of larger buckets that still hold more than one class are joined by a prefix filter, which finds every link between
+two classes: of two sets of p and q shingles at least the threshold t alike, t / (1 + t) (p + q) =: o are shared, so the first p - o + 1
+and q - o + 1 of them, in any one order, share one. The order is by how many members have a shingle, so that what a template gives to all
+comes last. So no two members of a bucket are left uncompared, save those that the filter proves unlike or that share a class. Hot buckets
+and hubs are joined by sort-merge, which adaptive execution splits; hot shingles in salted blocks.
 
 Words: runs of ASCII letters and digits and of characters beyond ASCII, lower case. A text of one to four words has one shingle, of all
 its words. A null text is empty; texts without words are one class if they are equal. A null doc_id is kept; a class of such rows only has
@@ -19,9 +22,11 @@ a negative id. Repeated rows are copies. Ties between centres go by hash. An emp
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -29,6 +34,8 @@ from pyspark.sql.types import DoubleType
 from gridloom.llm.shared import Words, map_rows, mix, ngrams, stored
 
 REGISTERS, BANDS, SMALL = 144, 24, 32
+#: Counters of shingles, by hash, for the order of the prefix filter; members of a block of a hot shingle.
+COUNTERS, BLOCK = 1 << 20, 2000
 #: Nodes whose ids may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -129,6 +136,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _counters(members: DataFrame) -> np.ndarray:
+    """How many shingles of members(shingles) fall on each of COUNTERS counters."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                np.add.at(total, (_set(packed.as_py()) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["at", "n"])
+
+    found = members.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def candidates(members: DataFrame, threshold: float) -> DataFrame:
+    """members(node, label, shingles) to the pairs (a, b) of two labels that a prefix filter can't prove less alike than the threshold."""
+    held = members.sparkSession.sparkContext.broadcast(_counters(members))
+
+    def prefix(rows: dict[str, list]) -> dict[str, object]:
+        out: dict[str, list] = {k: [] for k in ("token", "node", "label", "n", "pos")}
+        for node, label, packed in zip(rows["node"], rows["label"], rows["shingles"]):
+            own = _set(packed)
+            count = held.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
+            n = len(own)
+            order = np.lexsort((own, count))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+            pos = np.flatnonzero(count[order] > 1)  # one alone is nobody else's
+            for k, v in zip(out, (own[order[pos]].astype(np.int64), [node] * len(pos), [label] * len(pos), [n] * len(pos), pos)):
+                out[k].extend(v)
+        return out
+
+    tokens = stored(map_rows(members.select("node", "label", "shingles"), "token long, node long, label long, n int, pos int", prefix), "prefixes")
+    # a shingle's largest class isn't joined with itself, so the comparisons are at most twice the pairs of two classes
+    each = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    hot = each.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    marked = stored(tokens.join(hot.select("token", "most", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token"), "marked")
+    share = threshold / (1 + threshold)
+    small = marked.filter(F.col("pos") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = (df.select("token", "salt", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "pos")], (F.col("label") == F.col("most")).alias(f"{side}_most")) for df, side in ((small, "x"), (large, "y")))
+    shared = F.ceil(share * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    fits = (F.col("x_label") != F.col("y_label")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_pos") <= F.col("x_n") - shared) & (F.col("y_pos") <= F.col("y_n") - shared)
+    met = x.filter("not x_most").join(y, ["token", "salt"]).filter(fits).unionByName(x.filter("x_most").join(y.filter("not y_most"), ["token", "salt"]).filter(fits))
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def _joined(df: DataFrame, ids: DataFrame, on: str, count: int, how: str = "inner") -> DataFrame:
     """df joined with ids, which are broadcast if they are at most BROADCAST_IDS."""
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, how)
@@ -169,6 +226,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFra
             break
         links = links.union(more)
         labels = components(links)
+    marked = shared.filter(F.col("size") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    left = stored(marked.join(open_, "bucket").select("node", "label").distinct(), "open")
+    if not left.isEmpty():
+        more = stored(verified(candidates(stored(sets.join(left, "node"), "members"), threshold)), "verified")
+        labels = components(links.union(more))
     return _classes(sketch, nodes, labels)
 
 

@@ -92,3 +92,35 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(159, 200)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[k] for k in [*range(100, 160), 200]} == {100}
+
+
+def template_corpus(prose, n, pairs):
+    """n texts that share a long passage, under 0.8 alike, and texts a little over 0.8 alike to the first of them."""
+    r = random.Random(5)
+    passage = prose(1, 11, 100, 100)[0].rstrip(".")
+    texts = [passage + " " + " ".join(f"own{i}x{k}" for k in range(r.choice((14, 15, 18, 25)))) for i in range(n)]
+    return texts + [t.rsplit(" ", 12)[0] + "".join(f" other{i}x{k}" for k in range(12)) for i, t in enumerate(texts[:pairs])]
+
+
+def test_near_copies_among_texts_of_one_template(docs_of, prose, monkeypatch):
+    texts = template_corpus(prose, 90, 40)
+    want = brute(texts)
+    assert len(set(want)) == 90
+    for small, block in ((neardup.SMALL, neardup.BLOCK), (2, 7)):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+        rows = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of([(t, "en") for t in texts])).collect()}
+        assert [rows[i] for i in range(len(texts))] == want
+
+
+def test_candidates_hold_every_link(spark):
+    r = random.Random(8)
+    sets = []
+    for _ in range(60):
+        base = r.sample(range(300), r.randint(5, 120))
+        sets += [base, [v for v in base if r.random() > 0.06] + r.sample(range(300, 400), r.randint(0, 6))]
+    pack = lambda v: b"".join((x >> 8).to_bytes(4, "little") for x in v) + bytes(x & 255 for x in v)
+    packed = [(i, i % 7, bytearray(pack(sorted(int(neardup.mix(np.array([x], np.uint64))[0] >> np.uint64(24)) for x in set(s))))) for i, s in enumerate(sets)]
+    found = {(p["a"], p["b"]) for p in neardup.candidates(spark.createDataFrame(packed, "node long, label long, shingles binary"), 0.8).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if i % 7 != j % 7 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert len(alike) > 20 and alike <= found
