@@ -12,12 +12,14 @@ doc_id, then the text's crc32. An empty table gives an empty result. The law is
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.llm.shared import map_rows, ranked, stored
+from gridloom.llm.shared import map_rows, ranked, shared_dir, stored
 
 OVERHEAD = 16
 
@@ -112,7 +114,8 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> tuple[list[dic
 
 
 def reshard(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "size") -> DataFrame:
-    """rows (doc_id, size, text_crc32, old_shard) with `shard` and `slot`, gapless from 0 in each shard. old_shard may be outside 0..shards-1: such shards are dissolved."""
+    """rows (doc_id, size, text_crc32, old_shard) with `shard` and `slot`, gapless from 0 in each shard. old_shard may be outside 0..shards-1: such shards are dissolved. A key _row (a string) is handed on."""
+    key = [k for k in ("_row",) if k in rows.columns]
     kept = stored(rows.withColumn("_class", F.least(F.lit(255), F.floor(F.log2(F.col(size)) * 6)).cast("int")), "sized")
     blocks = sorted(tuple(r) for r in kept.groupBy(old, "_class").agg(F.count(F.lit(1)), F.sum(size)).collect())
     flow, _ = plan(blocks, shards)
@@ -122,22 +125,61 @@ def reshard(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "s
 
     def assign(cols: dict[str, list]) -> dict[str, object]:
         shard = [int(place[o, c][1][np.searchsorted(place[o, c][0], r, side="right") - 1]) for o, c, r in zip(cols[old], cols["_class"], cols["rank"])]
-        return {n: cols[n] for n in ("doc_id", size, "text_crc32", old)} | {"shard": shard}
+        return {n: cols[n] for n in ("doc_id", size, "text_crc32", old, *key)} | {"shard": shard}
 
-    given = map_rows(numbered, f"doc_id long, {size} long, text_crc32 long, {old} int, shard int", assign)
+    given = map_rows(numbered, f"doc_id long, {size} long, text_crc32 long, {old} int, " + "".join(f"{k} string, " for k in key) + "shard int", assign)
     return ranked(given, ["shard"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32"], total, "slot")
 
 
 def sized(docs: DataFrame, old_shards: int) -> DataFrame:
     """doc_id, size (UTF-8 bytes and overhead), text_crc32, and the old shard: where a hash of the id put the row. A null id's hash is that of its text."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.crc32(text))), F.lit(old_shards)).cast("int").alias("old_shard"))
+    return docs.select(*[k for k in ("_row",) if k in docs.columns], "doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.crc32(text))), F.lit(old_shards)).cast("int").alias("old_shard"))
+
+
+def _equals(df: DataFrame) -> DataFrame:
+    """df with _nth: the number of a row among those of equal doc_id, size and text_crc32, which may change places."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy(F.lit(0))))
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
-    """Writes under path/shard=N the documents of every shard that takes or loses rows; returns those shards. Documents are joined by doc_id, which must be unique here."""
+    """Writes under path/shard=N, with slot and old_shard, the documents of every shard that takes or loses rows, and removes what lies under
+    path for a touched shard that is left without rows; other shards stay. Returns the touched shards.
+
+    Rows are joined by the key _row where both tables have it, as sized() and reshard() hand it on; else by doc_id, size and text_crc32, and
+    equal ones by their number. So null and repeated ids are written once each."""
     spark = docs.sparkSession
-    touched = placed.filter(F.col("shard") != F.col("old_shard")).select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    ids = placed.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", "shard", "slot")
-    docs.drop("shard", "slot").join(ids, "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(path)
-    return spark.read.parquet(path).select("shard").distinct()
+    moved = placed.filter(F.col("shard") != F.col("old_shard"))
+    touched = stored(moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "touched")
+    keyed = "_row" in docs.columns and "_row" in placed.columns
+    own = docs.drop("shard", "slot", "old_shard")
+    if keyed:
+        given = placed.join(F.broadcast(touched), "shard", "left_semi").select("_row", "shard", "slot", "old_shard")
+        rows = own.join(given, "_row").drop("_row")
+    else:
+        text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        keys = {"doc_id": F.col("doc_id"), "size": (F.octet_length(text) + F.lit(OVERHEAD)).cast("long"), "text_crc32": F.crc32(text)}
+        left = _equals(docs.select(F.struct(*own.columns).alias("_doc"), *[v.alias(k) for k, v in keys.items()])).alias("a")
+        right = _equals(placed).join(F.broadcast(touched), "shard", "left_semi").alias("b")
+        rows = left.join(right, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_nth")]).select("_doc.*", "shard", "slot", "old_shard")
+    rows.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in touched.join(F.broadcast(placed.select("shard").distinct()), "shard", "left_anti").collect():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"shard={r['shard']}"), True)
+    return touched
+
+
+def resharded(docs: DataFrame, old_shards: int, shards: int) -> DataFrame:
+    """docs, with a key _row, resharded and the touched shards written in the shared folder: doc_id, size, text_crc32, old_shard, shard, slot; of
+    written rows as read back from the files, of rows in other shards as planned."""
+    placed = stored(reshard(sized(docs, old_shards), shards), "placed")
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/tables/shards-{uuid.uuid4().hex}"
+    touched = rewrite(docs.select("_row", "doc_id", *[c for c in docs.columns if c not in ("_row", "doc_id")]), placed, path)
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    still = placed.join(F.broadcast(touched), "shard", "left_anti").select(*names)
+    if touched.isEmpty():
+        return still
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    back = docs.sparkSession.read.parquet(path)
+    return back.select("doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "old_shard", F.col("shard").cast("int").alias("shard"), "slot").unionByName(still)

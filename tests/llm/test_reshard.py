@@ -72,3 +72,33 @@ def test_rewrite_only_touched_shards(spark, medium, tmp_path):
     assert touched == {s for r in moved for s in (r["shard"], r["old_shard"])}
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == placed.filter(F.col("shard").isin(*touched)).count() and set(docs.columns) <= set(back.columns)
+
+
+def test_rewrite_keeps_null_and_repeated_ids_and_other_shards(spark, tmp_path):
+    path = str(tmp_path / "out")
+    kept = spark.createDataFrame([(1, "a", "x", 3), (2, "b", "y", 7)], "doc_id long, text string, lang string, shard int")
+    kept.write.partitionBy("shard").parquet(path)
+    rows = [(None, "one"), (None, "two"), (None, None), (5, "same"), (5, "same"), (5, "other"), (6, "six"), (7, "seven")]
+    plain = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row string")
+    for docs in (plain, plain.drop("_row")):
+        old = reshard.sized(docs, 1).withColumn("old_shard", F.when(F.col("doc_id") == 7, 7).otherwise(0))
+        placed = spark.createDataFrame((p := reshard.reshard(old, 2)).collect(), p.schema)
+        assert {r["shard"] for r in reshard.rewrite(docs, placed, path).collect()} == {0, 1, 7}
+        back = spark.read.parquet(path).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in back if r["shard"] < 2), key=str) == sorted(rows, key=str)
+        assert [(r["doc_id"], r["shard"]) for r in back if r["shard"] >= 2] == [(1, 3)]
+
+
+def test_query_reads_back_what_it_wrote(spark, small, monkeypatch):
+    from gridloom.llm import queries
+
+    written = []
+    whole = reshard.rewrite
+    monkeypatch.setattr(reshard, "rewrite", lambda docs, placed, path: written.append(path) or whole(docs, placed, path))
+    got = queries.op7_reshard(spark, small).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    touched = {s for r in got if r["shard"] != r["old_shard"] for s in (r["shard"], r["old_shard"])}
+    files = spark.read.parquet(written[0]).select("doc_id", "shard", "slot").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    assert sorted(map(tuple, files)) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in got if r["shard"] in touched)
+    assert all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]]) and r["size"] == len(docs[r["doc_id"]]) + 16 for r in got)
