@@ -8,9 +8,12 @@ within RADIUS differ by at most RADIUS // BLOCKS bits in some block, so items ar
 windows look up their own values, and every pair within the radius meets. Pairs of equal window size within the radius are verified by the
 exact weighted Jaccard similarity of their shingles.
 
-Nulls: a null text is empty; an item with a null text or under five words has no shingle and is never found; null ids are kept. Repeated
-rows give one row per doc_id and item_id, with the best window; ties go to the first window. Very long texts are read whole. Empty tables
-give an empty result. Other columns are not read; `clean` keeps them.
+An item of one to four words has one shingle, of all its words, and is looked for in windows of that length, where it must stand word for word.
+
+Nulls: a null text is empty and holds nothing; an item with a null text or without words is never found. Rows, of documents and of items,
+are told apart by a key of their own up to the last step, so null and repeated ids lose nothing: `leaks` gives one row per doc_id and item_id
+(null is an id), with the best window of all rows of that id; ties go to the first window. `clean` judges each row by itself. Very long texts
+are read whole. Empty tables give an empty result. Other columns are not read; `clean` keeps them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import stored
+from gridloom.llm.shared import free_name, keyed, stored
 
 N, BITS, BLOCKS, RADIUS = 5, 64, 9, 17
 #: Shingles of the benchmark that may be broadcast: some 24 bytes each.
@@ -31,9 +34,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def runs(of: Column, n: int) -> Column:
+    """The hash of each run of n words; an empty array if there are fewer."""
+    return F.when(F.size(of) >= n, F.transform(F.slice(of, 1, F.greatest(F.size(of) - (n - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(of, i + k) for k in range(1, n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles(of: Column) -> Column:
-    """The hash of each run of N words; an empty array if there are fewer."""
-    return F.when(F.size(of) >= N, F.transform(F.slice(of, 1, F.greatest(F.size(of) - (N - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(of, i + k) for k in range(1, N)]))).otherwise(F.array().cast("array<bigint>"))
+    """The hash of each run of N words; of fewer words, of all of them; an empty array without words."""
+    out = runs(of, N)
+    for n in range(1, N):
+        out = F.when(F.size(of) == n, runs(of, n)).otherwise(out)
+    return out
 
 
 def fingerprints(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
@@ -72,34 +83,52 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per document and item of it: doc_id, item_id, start (first word of the best window), length (its words), hamming, similarity."""
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """docs(_row, doc_id, text) to _row, doc_id, item_id, start, length, hamming, similarity of each window that is similar to an item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").cast("int").alias("length"), shingles(F.col("w")).alias("item_hashes")).filter(F.size("item_hashes") > 0)
-    items = stored(items, "items")
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
     seeds = items.select("length", F.posexplode("item_hashes").alias("at", "h")).distinct()
     few = seeds.count() <= BROADCAST_SHINGLES
-    own = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= N)
-    places = own.select("doc_id", "w", F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    short = sorted(r["length"] for r in items.filter(F.col("length") < N).select("length").distinct().collect())
+    own = docs.select("_row", "doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= min([N, *short]))
+
+    def places(of: DataFrame, *kept: str) -> DataFrame:
+        """Each run of words of the sizes in question, with its place and hash."""
+        each = lambda n: F.transform(runs(F.col("w"), n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(n).alias("n")))
+        every = each(N)
+        for n in short:
+            every = F.concat(every, each(n))
+        return of.select(*kept, F.inline(every))
+
+    fits = F.least(F.col("length"), F.lit(N)) == F.col("n")
     if few:
-        hits = places.join(F.broadcast(seeds), "h")
+        hits = places(own, "_row", "doc_id", "w").join(F.broadcast(seeds), "h").filter(fits)
     else:  # only hashes are shuffled; the words are joined to what is hit
-        keyed = stored(own.withColumn("row", F.monotonically_increasing_id()), "words")
-        hit = keyed.select("row", F.posexplode(shingles(F.col("w"))).alias("pos", "h")).join(seeds, "h").select("row", "pos", "at", "length").distinct()
-        hits = hit.join(keyed, "row")
+        own = stored(own, "words")
+        hit = places(own, "_row").join(seeds, "h").filter(fits).select("_row", "pos", "at", "length").distinct()
+        hits = hit.join(own, "_row")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("w") - F.col("length")))
-    laid = hits.select("doc_id", start.alias("start"), "length", F.expr("slice(w, int(greatest(0, least(pos - at, size(w) - length))) + 1, length)").alias("w"))
-    windows = stored(laid.groupBy("doc_id", "start", "length").agg(F.first("w").alias("w")).select("doc_id", "start", "length", shingles(F.col("w")).alias("hashes")).filter(F.size("hashes") > 0).withColumn("window", F.monotonically_increasing_id()), "windows")
+    laid = hits.select("_row", "doc_id", start.alias("start"), "length", F.expr("slice(w, int(greatest(0, least(pos - at, size(w) - length))) + 1, length)").alias("w"))
+    one = laid.groupBy("_row", "start", "length").agg(F.first("doc_id").alias("doc_id"), F.first("w").alias("w"))  # a row has one id, and one text at a place
+    windows = stored(one.select("_row", "doc_id", "start", "length", shingles(F.col("w")).alias("hashes")).withColumn("window", F.monotonically_increasing_id()), "windows")
     left = fingerprints(windows.select("window", "length", "hashes"), ["window", "length"], "hashes").select("window", "length", "fp", F.inline(block_values(F.col("fp"), False)))
-    right = fingerprints(items, ["item_id", "length"], "item_hashes").select("item_id", "length", F.col("fp").alias("item_fp"), F.inline(block_values(F.col("fp"), True)))
+    right = fingerprints(items, ["item", "length"], "item_hashes").select("item", "length", F.col("fp").alias("item_fp"), F.inline(block_values(F.col("fp"), True)))
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    met = left.join(right, ["length", "block", "value"]).filter(hamming <= RADIUS).select("window", "item_id", hamming.alias("hamming")).distinct()
-    pairs = met.join(windows, "window").join(items.select("item_id", "item_hashes"), "item_id")
-    scored = pairs.select("doc_id", "item_id", "start", "length", "hamming", weighted_jaccard(F.col("hashes"), F.col("item_hashes")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    met = left.join(right, ["length", "block", "value"]).filter(hamming <= RADIUS).select("window", "item", hamming.alias("hamming")).distinct()
+    pairs = met.join(windows, "window").join(items.select("item", "item_id", "item_hashes"), "item")
+    return pairs.select("_row", "doc_id", "item_id", "start", "length", "hamming", weighted_jaccard(F.col("hashes"), F.col("item_hashes")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per document and item of it: doc_id, item_id, start (first word of the best window), length (its words), hamming, similarity."""
+    scored = _found(keyed(docs.select("doc_id", "text")), benchmark, threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "length", "hamming")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs without those that hold an item; all columns stay. Rows of null doc_id stay, as an id is what names a leak."""
-    found = stored(leaks(docs, benchmark, threshold).select("doc_id").filter("doc_id is not null").distinct(), "leaks")
-    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds an item; all columns and all other rows stay, whatever their ids."""
+    key = free_name(docs, "_row")
+    rows = keyed(docs, key)
+    found = stored(_found(rows.select(F.col(key).alias("_row"), "doc_id", "text"), benchmark, threshold).select(F.col("_row").alias(key)).distinct(), "leaks")
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, key, "left_anti").select(*docs.columns)

@@ -5,43 +5,101 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Rows of one Arrow batch; texts can be long.
 BATCH_ROWS = 1000
+#: Bytes of one Arrow batch, more only by its last row.
+BATCH_BYTES = 8_000_000
 #: Bytes of text handled at once inside a batch.
 SLICE_BYTES = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set here only where it is unset."""
+    """The folder in spark.checkpoint.dir; set here only where it is unset, and only in local mode: on a cluster no machine reads another's folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no result still to be computed reads."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with a number, so that no column of df is called so."""
+    taken, k, out = {c.lower() for c in df.columns}, 0, name
+    while out in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def keyed(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a string column `name` that tells rows apart and is the same in every scan: a row's file and its place there.
+
+    docs that aren't files, or whose own columns hide the files' metadata, are stored first, under a numbering of their rows.
+    """
+    if "_metadata" not in docs.columns and docs.inputFiles():
+        try:
+            return docs.select("*", F.concat_ws(":", F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")).alias(name))
+        except AnalysisException:
+            pass
+    return stored(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "keyed")
+
+
+def hash_sample(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
+    """rows(key, group), one row a key, with `_r`, from 1: the `most` first of each group by a hash of the key.
+
+    A group's count gives a bound of the hash that some 1.5 times `most` rows pass, so that what is ranked, in one task a group, does not
+    grow with the table. The counts are one row a group, and the first `most` are below the bound but for a chance of 1 in 10^9.
+    """
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    counts = rows.groupBy(group).agg((F.lit(1.5 * most + 50) / F.count(F.lit(1))).alias("_share"))
+    near = rows.join(counts, group).filter(share < F.col("_share")).drop("_share")
+    order = Window.partitionBy(group).orderBy(share, key)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
 
 
 def fold(doc_id: Column) -> Column:
@@ -49,29 +107,53 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _slices(texts: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of at most SLICE_BYTES in sum, or of one row."""
+    lo, total = 0, 0
+    for i, s in enumerate([*texts, None]):
+        if s is None or (total and total + s > SLICE_BYTES):
+            if i > lo:
+                yield lo, i
+            lo, total = i, 0
+        total += s or 0
+
+
 def map_rows(df: DataFrame, schema: str, function: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """mapInArrow with columns as lists, at most SLICE_BYTES of text (or one row) per call. The function returns the columns of schema."""
-    target = _arrow_schema(df.sparkSession, schema)
+    target = _arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            size = [sum(len(v) for v in row if isinstance(v, str)) for row in zip(*columns.values())]
-            lo, total = 0, 0
-            for i, s in enumerate([*size, None]):
-                if s is None or (total and total + s > SLICE_BYTES):
-                    if i > lo:
-                        out = function({n: c[lo:i] for n, c in columns.items()})
-                        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-                    lo, total = i, 0
-                total += s or 0
+            for lo, hi in _slices([sum(len(v) for v in row if isinstance(v, str)) for row in zip(*columns.values())]):
+                out = function({n: c[lo:hi] for n, c in columns.items()})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def map_texts(df: DataFrame, function: Callable[[list[str | None]], list | np.ndarray], replace: bool) -> DataFrame:
+    """df with its column `text` replaced by what the function makes of it, or the rows for which the function gives true. All other
+    columns, of whatever type, pass as the Arrow columns that they are."""
+    place = df.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            made: list = []
+            for lo, hi in _slices([len(t or "") for t in texts]):
+                made += list(function(texts[lo:hi]))
+            if replace:
+                column = pa.array(made, batch.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays([column if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            else:
+                yield batch.filter(pa.array(made, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
 
