@@ -49,3 +49,36 @@ def test_odd_pages(spark):
     assert got[1, "u"] == "" and got[2, None] == "" and got[None, "v"] == "some words" and got[5, "x"] == "deep words here" and got[6, "y"] == ""
     assert html_text.main_text(pages, html_text.DEFAULT).count() == 7
     assert html_text.main_text(pages.limit(0), html_text.fit(pages.limit(0))).collect() == []
+
+
+ARTICLE = "<h1>Title of it</h1>" + "".join("<p>" + " ".join(f"word{i}x{j}" for j in range(35)) + "</p>" for i in range(4))
+TEXT = "\n\n".join(["Title of it", *(" ".join(f"word{i}x{j}" for j in range(35)) for i in range(4))])
+TOP = "<header><h2>Site</h2></header><nav><a href=x>one</a><a href=y>two</a></nav>"
+FOOT = "<footer>foot words here</footer>"
+COMMENTS = '<div id="comments">' + '<div class="comment"><p>' + "a reader says " * 200 + "</p></div></div>"
+LAYOUTS = [
+    "{top}<div>{it}</div>{foot}",
+    '{top}<div class="content-sidebar-wrap">{it}</div>{foot}',
+    '{top}<div class="content-sidebar-wrap"><div>{it}</div><aside>side words</aside></div>{foot}',
+    '<form id="aspnetForm">{top}<div>{it}</div>{foot}</form>',
+    '{top}<div class="layout ad-free">{it}</div>{foot}',
+    '{top}<div class="social-policy-report">{it}</div>{foot}',
+    '{top}<div class="page-with-sidebar"><main>{it}</main></div>{comments}{foot}',
+    "{top}<div>{it}</div>{comments}{foot}",
+    "{top}<article>{it}{comments}</article>{foot}",
+    '<div class="cookie-notice"><p>' + "we use cookies " * 60 + "</p></div>{top}<div>{it}</div>{foot}",
+    '{top}<article>{it}</article><div class="related"><article class="card">' + "another page of this site " * 5 + "</article></div>{foot}",
+    '{top}<div class="page"><article>{it}</article><div class="comments"><article>' + "a reader says " * 200 + "</article></div></div>{foot}",
+]
+
+
+def test_layouts_and_their_marks():
+    for layout in LAYOUTS:
+        page = "<html><body>" + layout.format(top=TOP, foot=FOOT, it=ARTICLE, comments=COMMENTS) + "</body></html>"
+        assert html_text.extract(page, html_text.DEFAULT) == TEXT, layout
+
+
+def test_fit_counts_what_one_pass_counts(spark, medium, monkeypatch):
+    pages = spark.read.parquet(f"{medium}/pages.parquet")
+    monkeypatch.setattr(html_text, "SAMPLE", 10_000)
+    assert html_text.fit(pages) == html_text.learn(*html_text.count([r["html"] for r in pages.collect()]))
