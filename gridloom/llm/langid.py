@@ -6,9 +6,10 @@ interpolated. The n-grams of all languages are one sorted array of hashes with a
 contexts are another, with the weights left for the lower order. A text's cross-entropy in a language is the mean over its words'
 characters, numbers apart; the language of the lowest is chosen. A batch's distinct words are scored once, and remembered by the worker.
 
-The models are fitted on at most SAMPLE documents of each language, the first by a hash of doc_id, of those whose crc32(doc_id) mod 5 is
-not 0; the rest of the corpus is scored, whole. `rejects` is calibrated on the same documents: a text is rejected if its cross-entropy
-in its best language is over REJECT_FACTOR times that of the language's worst training document; or if it has no letter.
+The models are fitted on at most SAMPLE / 2 documents of each language, of those whose crc32(doc_id) mod 5 is not 0; the rest of the corpus
+is scored, whole. Rejection is calibrated on as many documents that no model has seen: of those that go to a language, the cross-entropy
+that only the share FALSE_REJECTION exceeds is the language's limit; or, if that is higher, as it is where the documents are few, what a
+normal distribution of the logarithms gives. A text over the limit of its best language is rejected; so is one that has no letter.
 
 Nulls and texts without a letter are `und`, with score 0. A text with letters gets a learned language; without any training row all are `und`. Ties go to the
 language first in order. Repeated rows get equal results; a null doc_id is kept; an empty table gives an empty result.
@@ -18,19 +19,20 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridloom.llm.shared import Words, fold, map_rows, mix
+from gridloom.llm.shared import Words, discard, fold, hash_sample, map_rows, map_texts, mix, stored
 
 ORDER = 5
-#: Training documents of each language at most.
-SAMPLE = 1000
-REJECT_FACTOR = 2.0
+#: Documents of each language at most; every second one trains, the others calibrate.
+SAMPLE = 2000
+#: The share of a language's own documents that calibration lets be rejected.
+FALSE_REJECTION = 0.001
 REMEMBERED = 250_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,21 +175,18 @@ class Scorer:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """At most SAMPLE documents of each language: lang, text. Ids and languages alone are ranked; the chosen ids are joined by broadcast."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang")
-    # first by part, so that no task holds a whole language
-    draw = F.struct(F.xxhash64("doc_id"), "doc_id")
-    near = known.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(draw))).filter(F.col("r") <= SAMPLE)
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(draw))).filter(F.col("r") <= SAMPLE).select("doc_id", "lang")
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").filter("text is not null")
+    """At most SAMPLE documents of each language: lang, text, trains. Ids and languages alone are ranked; of an id's several texts one is read."""
+    own = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    chosen = hash_sample(own.select("doc_id", "lang").distinct(), "doc_id", "lang", SAMPLE)
+    rows = own.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.first("_r").alias("_r"))
+    return rows.select("lang", "text", (F.col("_r") % 2 == 1).alias("trains"))
 
 
 def fit(docs: DataFrame) -> Model | None:
     """The models of the languages in docs (doc_id, text, lang); None if there is no row to learn from. A language's sample is one task's."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows["text"].tolist()
-        words = Words(texts)
+        words = Words(rows["text"].tolist())
         _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
         buf = words.buf.tobytes()
         own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
@@ -195,14 +194,12 @@ def fit(docs: DataFrame) -> Model | None:
         if not spoken:
             return pd.DataFrame({"lang": [], "part": []})
         part = train([own[k] for k in spoken], count[spoken])
-        model = Model.of({"x": part})
-        entropy = Scorer(model).entropies(texts)[:, 0]
-        worst = float(entropy[np.isfinite(entropy)].max())
-        data = b"".join([np.int64(len(part[0])).tobytes(), np.int64(len(part[2])).tobytes(), part[0].tobytes(), part[1].astype("<f4").tobytes(), part[2].tobytes(), part[3].astype("<f4").tobytes(), np.float64(worst).tobytes()])
+        data = b"".join([np.int64(len(part[0])).tobytes(), np.int64(len(part[2])).tobytes(), part[0].tobytes(), part[1].astype("<f4").tobytes(), part[2].tobytes(), part[3].astype("<f4").tobytes()])
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "part": [data]})
 
-    parts, limits = {}, {}
-    for row in sample(docs).groupBy("lang").applyInPandas(one, "lang string, part binary").collect():
+    chosen = stored(sample(docs), "languages")
+    parts = {}
+    for row in chosen.filter("trains").groupBy("lang").applyInPandas(one, "lang string, part binary").collect():
         data = bytes(row["part"])
         n, m = np.frombuffer(data, np.int64, 2)
         at, arrays = 16, []
@@ -210,14 +207,34 @@ def fit(docs: DataFrame) -> Model | None:
             arrays.append(np.frombuffer(data, kind, size, at))
             at += arrays[-1].nbytes
         parts[row["lang"]] = tuple(arrays)
-        limits[row["lang"]] = np.frombuffer(data, np.float64, 1, at)[0]
     if not parts:
         return None
     model = Model.of(parts)
-    model.limit = np.array([limits[x] * REJECT_FACTOR for x in model.languages])
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def unseen(rows: dict[str, list]) -> dict[str, object]:
+        entropy = _scorer(key, held.value).entropies(rows["text"])
+        entropy = entropy[np.isfinite(entropy[:, 0])]
+        return {"k": entropy.argmin(1), "bits": entropy.min(1)}
+
+    found = map_rows(chosen.filter("not trains").select("text"), "k int, bits double", unseen).collect()  # at most SAMPLE / 2 numbers a language
+    discard(chosen)
+    model.limit = limits(np.array([r["k"] for r in found], int), np.array([r["bits"] for r in found]), len(model.languages))
     return model
 
 
+def limits(k: np.ndarray, bits: np.ndarray, languages: int) -> np.ndarray:
+    """Each language's limit from the cross-entropies of unseen texts whose best language is k; a language without such texts has the highest of the others."""
+    out = np.full(languages, np.nan)
+    tail = NormalDist().inv_cdf(1 - FALSE_REJECTION)
+    for x in range(languages):
+        own = bits[k == x]
+        if len(own):
+            logs = np.log(np.maximum(own, 1e-9))
+            out[x] = max(np.quantile(own, 1 - FALSE_REJECTION, method="higher"), np.exp(logs.mean() + tail * logs.std()))
+    return np.where(np.isnan(out), np.nanmax(out) if np.isfinite(out).any() else np.inf, out)
+
+
 _scorers: dict[str, Scorer] = {}
 
 
@@ -255,16 +272,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without those that are rejected; all columns and repeated rows stay. No join: each row is judged where it is."""
     held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
 
-    def run(rows: dict[str, list]) -> dict[str, object]:
-        keep = []
-        entropy = _scorer(key, held.value).entropies(rows["text"]) if held.value is not None else None
-        for i, t in enumerate(rows["text"]):
-            ok = entropy is not None and bool(t) and np.isfinite(entropy[i, 0]) and any(map(str.isalpha, t))
-            if ok and entropy[i].min() <= held.value.limit[int(entropy[i].argmin())]:
-                keep.append(i)
-        return {n: [rows[n][i] for i in keep] for n in names}
-
-    return map_rows(docs, schema, run)
+    def known(texts: list[str | None]) -> list[bool]:
+        if held.value is None:
+            return [False] * len(texts)
+        entropy = _scorer(key, held.value).entropies(texts)
+        under = entropy.min(1) <= held.value.limit[entropy.argmin(1)]
+        return [bool(u) and bool(t) and any(map(str.isalpha, t)) and bool(np.isfinite(e)) for u, t, e in zip(under, texts, entropy[:, 0])]
+
+    return map_texts(docs, known, replace=False)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.automaton import Automaton, compile_rules, scan
-from gridloom.llm.shared import map_rows
+from gridloom.llm.shared import map_rows, map_texts
 
 #: The kinds, in order; the rule of the automaton, on bytes, which each match has as a part (long counts are left to the
 #: exact pattern where overlapping starts would multiply the states); the exact pattern, on text; what a match must hold besides.
@@ -87,12 +87,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each span of a text replaced by the mark; overlapping spans are one. A null text stays null; all columns and rows stay."""
     auto = automaton()
-    schema = docs.schema
-    names = docs.columns
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
 
-    def run(rows: dict[str, list]) -> dict[str, object]:
-        texts = rows["text"]
+    def run(texts: list[str | None]) -> list[str | None]:
         marks = scan(auto, [(t or "").encode("utf-8", "replace") for t in texts])
         out = list(texts)
         for i in np.flatnonzero(marks):
@@ -106,6 +102,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                     parts.append(mark)
                 at = e
             out[i] = "".join([*parts, text[at:]])
-        return {n: rows[n] for n in names} | {"text": out}
+        return out
 
-    return map_rows(docs, ddl, run)
+    return map_texts(docs, run, replace=True)

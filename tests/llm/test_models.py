@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import langid, linear, quality, toxicity
 from gridloom.llm.shared import Words
@@ -51,6 +53,104 @@ def probability(model, word, at):
     return p
 
 
+class PlainKneserNey:
+    """The model from its definition: plain counts, sets of left neighbours, one dictionary for each order."""
+
+    def __init__(self, words, counts, order=5):
+        self.order, self.count, self.discount = order, {n: {} for n in range(1, order + 1)}, {}
+        seen = {n: {} for n in range(1, order + 1)}
+        for word, times in zip(words, counts):
+            text = f" {word} "
+            for end in range(2, len(text) + 1):
+                for n in range(1, min(order, end) + 1):
+                    gram = text[end - n : end]
+                    seen[n].setdefault(gram, []).append((text[end - n - 1] if end - n > 0 else None, times))
+        for n, grams in seen.items():
+            for gram, places in grams.items():
+                left = {a for a, _ in places if a is not None}
+                self.count[n][gram] = sum(t for _, t in places) if n == order else len(left) + sum(t for a, t in places if a is None)
+            values = list(self.count[n].values())
+            once, twice = values.count(1), values.count(2)
+            self.discount[n] = min(once / (once + 2 * twice) if once and twice else 0.5, min(values, default=0.5))
+
+    def chance(self, before, char, letters):
+        p = 1 / letters
+        for n in range(1, min(self.order, len(before) + 1) + 1):
+            context = before[len(before) - n + 1 :]
+            own = {g: c for g, c in self.count[n].items() if g[:-1] == context}
+            if own:
+                total = sum(own.values())
+                p = max(own.get(context + char, 0) - self.discount[n], 0) / total + self.discount[n] * len(own) / total * p
+        return p
+
+    def bits(self, word, letters):
+        text = f" {word} "
+        return -sum(np.log2(self.chance(text[:k], text[k], letters)) for k in range(1, len(text)))
+
+
+def test_models_equal_plain_kneser_ney(tables):
+    docs, _ = tables
+    words = Words([r["text"] for r in docs.limit(12).collect()])
+    own = [words.buf[a:b].tobytes().decode() for a, b in zip(words.start, words.end)]
+    kinds = sorted(set(own))[:300]
+    counts = [own.count(w) for w in kinds]
+    for some, times in ((["abra", "abba", "bar", "cab", "abracadabra", "a"], [3, 1, 4, 1, 5, 9]), (kinds, counts)):
+        plain, model = PlainKneserNey(some, times), langid.Model.of({"x": langid.train(some, np.array(times))})
+        asked = [*some[:60], "unheard", "ab", "zzz", "q"]
+        bits, size = model.bits(asked)
+        assert size.tolist() == [len(w) + 1 for w in asked]
+        assert np.allclose(bits[:, 0], [plain.bits(w, model.letters) for w in asked], rtol=1e-4)
+
+
+FOREIGN = ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita", "Все люди рождаются свободными и равными в своем достоинстве и правах", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι", "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw"]
+
+
+def garbled(r):
+    return " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(60))
+
+
+def test_rejection_of_foreign_and_garbled_texts(spark, tables):
+    """Limits come from texts that trained no model; texts of the learned languages pass but for the stated rate, others don't, nor do mixed ones."""
+    docs, _ = tables
+    model = langid.fit(docs)
+    r = random.Random(4)
+    own = [x["text"] for x in docs.filter(F.length("text") > 300).limit(5).collect()]
+    odd = [*FOREIGN, *(garbled(r) for _ in range(6)), "".join(r.choices("ABCDEFGHIJabcdefghij0123456789+/", k=900))]
+    mixed = [t[:300] + " " + garbled(r) + " " + FOREIGN[1] for t in own]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, *mixed, *own])], "doc_id long, text string")
+    got = {x["doc_id"]: x["rejected"] for x in langid.identify(rows, model).collect()}
+    bad = len(odd) + len(mixed)
+    assert all(got[i] for i in range(bad)) and not any(got[i] for i in range(bad, len(got)))
+    assert {x["doc_id"] for x in langid.keep_known(rows, model).collect()} == set(range(bad, len(got)))
+
+
+def test_limits_keep_to_the_stated_rate():
+    r = np.random.default_rng(3)
+    draw = lambda n: np.exp(r.normal(0.7, 0.1, n))
+    for n in (30, 1000, 20_000):
+        limit = langid.limits(np.zeros(n, int), draw(n), 2)
+        assert (draw(200_000) > limit[0]).mean() < 4 * langid.FALSE_REJECTION and limit[1] == limit[0]
+    assert np.isinf(langid.limits(np.zeros(0, int), np.zeros(0), 2)).all()
+
+
+def test_no_row_both_trains_and_calibrates(tables, monkeypatch):
+    docs, _ = tables
+    monkeypatch.setattr(langid, "SAMPLE", 50)
+    rows = langid.sample(docs.union(docs)).collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x["lang"], []).append(x["trains"])
+    assert all(len(v) == 50 and sum(v) == 25 for v in by.values()) and len({x["text"] for x in rows}) > 190
+
+
+def test_columns_of_any_type_pass(spark):
+    docs = spark.sql("select 1L as doc_id, 'some words' as text, named_struct('a-b', 1, 'c', array(timestamp'2024-01-01 00:00:00')) as s, map('k', 1.5) as m, 2L as n_chars")
+    from gridloom.llm import secrets
+
+    for out in (secrets.redact(docs), langid.keep_known(docs, langid.Model.of({"x": langid.train(["some", "words"], np.array([1, 1]))}))):
+        assert out.schema.simpleString() == docs.schema.simpleString() and [r.asDict(True) for r in out.collect()] == [r.asDict(True) for r in docs.collect()]
+
+
 def test_scorer_equals_a_plain_sum():
     model = langid.Model.of({"x": langid.train(["abra", "abba", "bar"], np.array([3, 1, 4])), "y": langid.train(["ein", "eine", "rein"], np.array([1, 1, 1]))})
     text = "Abra rein, zzz ABBA bar"
