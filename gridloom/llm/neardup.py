@@ -16,7 +16,7 @@ and hubs are joined by sort-merge, which adaptive execution splits; hot shingles
 
 Words: runs of ASCII letters and digits and of characters beyond ASCII, lower case. A text of one to four words has one shingle, of all
 its words. A null text is empty; texts without words are one class if they are equal. A null doc_id is kept; a class of such rows only has
-a negative id. Repeated rows are copies. Ties between centres go by hash. An empty table gives an empty result. Other columns are not read.
+a negative id. Repeated rows are copies; `keep_first` keeps one of them, whatever its id. Ties between centres go by hash. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from gridloom.llm.shared import Words, map_rows, mix, ngrams, stored
+from gridloom.llm.shared import Words, discard, free_name, keyed, map_rows, mix, ngrams, stored
 
-REGISTERS, BANDS, SMALL = 144, 24, 32
+REGISTERS, BANDS, SMALL, ROUNDS = 144, 24, 32, 3
 #: Counters of shingles, by hash, for the order of the prefix filter; members of a block of a hot shingle.
 COUNTERS, BLOCK = 1 << 20, 2000
 #: Nodes whose ids may be broadcast: 8 bytes each.
@@ -100,7 +100,9 @@ def _sketch(rows: dict[str, list]) -> dict[str, object]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the words), n (of shingles), bands, shingles (a packed set)."""
+    """doc_id, key (of the words), n (of shingles), bands, shingles (a packed set); and _row, if docs have it."""
+    if "_row" in docs.columns:
+        return map_rows(docs.select("doc_id", "text", "_row"), "doc_id long, key binary, n int, bands array<long>, shingles binary, _row string", lambda rows: _sketch(rows) | {"_row": rows["_row"]})
     return map_rows(docs.select("doc_id", "text"), "doc_id long, key binary, n int, bands array<long>, shingles binary", _sketch)
 
 
@@ -124,16 +126,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), both ways or not, to (node, label): the least node of each connected component. Labels spread to neighbours and along labels."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    labels: DataFrame = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         over = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
         jumped = stored(spread.join(over, F.col("label") == F.col("at")).select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("was")).alias("moved")), "labels")
-        moved = not jumped.filter("moved").isEmpty()
-        labels = jumped.select("node", "label")
-        if not moved:
-            return labels
+        discard(labels)
+        if jumped.filter("moved").isEmpty():
+            discard(both)
+            return jumped.select("node", "label")
+        labels = jumped
 
 
 def _counters(members: DataFrame) -> np.ndarray:
@@ -191,14 +194,21 @@ def _joined(df: DataFrame, ids: DataFrame, on: str, count: int, how: str = "inne
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, how)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size (rows of its class)."""
+    rows, ids = _classes(docs.select("doc_id", "text"), threshold, rounds)
+    return rows.join(ids, "label").select("doc_id", F.coalesce("least", -1 - F.col("label")).alias("class_id"), "class_size")
+
+
+def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: of each row doc_id, row, label and, if docs have it, _row; and of each label least (doc_id), class_size and first (row of the least doc_id)."""
     sketch = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketch")
     nodes = stored(sketch.groupBy("key").agg(F.min("row").alias("node")), "nodes")
     alone = sketch.select("row", "bands").join(nodes.select(F.col("node").alias("row")), "row")
     members = alone.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order)["node"].alias("centre")).filter("size > 1")
+    size = stored(size, "sizes")  # a table of its own, here and below, so that both sides of the join are shuffled and a hot bucket can be split
     shared = stored(members.join(size, "bucket"), "buckets")
     pairs = shared.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = stored(shared.select("node").distinct(), "involved")
@@ -215,7 +225,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFra
         marked = shared.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
         draw = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node"), F.col("label"))
         open_ = marked.groupBy("bucket").agg(F.min(draw).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of"))
-        apart = stored(marked.join(open_, "bucket"), "apart")
+        apart = stored(marked.join(stored(open_, "unlike"), "bucket"), "apart")
         pairs = apart.filter("label <> of").select(F.col("node").alias("a"), F.col("centre").alias("b"))
         if k == 1:
             few = apart.filter(F.col("size") <= SMALL)
@@ -228,28 +238,23 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFra
         labels = components(links)
     marked = shared.filter(F.col("size") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stored(marked.join(open_, "bucket").select("node", "label").distinct(), "open")
+    left = stored(marked.join(stored(open_, "unlike"), "bucket").select("node", "label").distinct(), "open")
     if not left.isEmpty():
         more = stored(verified(candidates(stored(sets.join(left, "node"), "members"), threshold)), "verified")
         labels = components(links.union(more))
-    return _classes(sketch, nodes, labels)
-
-
-def _classes(sketch: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    rows = stored(sketch.select("doc_id", "key").join(named, "key").select("doc_id", "label"), "labelled")
-    # a table of its own, so that the join below shuffles both sides and a large class can be split
-    ids = stored(rows.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size")), "ids")
-    return rows.join(ids, "label").select("doc_id", F.coalesce("least", -1 - F.col("label")).alias("class_id"), "class_size")
+    rows = stored(sketch.join(named, "key").select("doc_id", "row", "label", *[c for c in sketch.columns if c == "_row"]), "labelled")
+    # a table of its own, so that the join with it shuffles both sides and a large class can be split
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    ids = stored(rows.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"), first["row"].alias("first")), "ids")
+    discard(sketch, nodes, size, shared, involved, sets, links)
+    return rows, ids
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs without the near-duplicates of a document of lower doc_id; all columns stay. Of rows with equal doc_id and text one stays; rows without doc_id stay."""
-    found = stored(classes(docs, threshold).filter("doc_id is not null"), "classes")
-    extra = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = _joined(docs, extra, "doc_id", extra.count(), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    n = repeated.count()
-    if not n:
-        return kept
-    return _joined(kept, repeated, "doc_id", n, "left_anti").unionByName(_joined(kept, repeated, "doc_id", n, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """docs with one row of each near-duplicate class, that of the least doc_id (null ids last), and the first of rows with equal ids; all columns stay."""
+    key = free_name(docs, "_row")
+    own = keyed(docs, key)
+    rows, ids = _classes(own.select("doc_id", "text", F.col(key).alias("_row")), threshold, ROUNDS)
+    extra = stored(rows.join(ids.select(F.col("first").alias("row")), "row", "left_anti").select(F.col("_row").alias(key)), "copies")
+    return _joined(own, extra, key, extra.count(), "left_anti").select(*docs.columns)
