@@ -11,31 +11,40 @@ class is still another one are then compared with further centres, and in bucket
 class. The members of larger buckets that still hold more than one class are joined by a prefix filter, which finds every link between
 two classes: of two sets of p and q shingles at least the threshold t alike, t / (1 + t) (p + q) =: o are shared, so the first p - o + 1
 and q - o + 1 of them, in any one order, share one. The order is by how many members have a shingle, so that what a template gives to all
-comes last. So no two members of a bucket are left uncompared, save those that the filter proves unlike or that share a class. Hot buckets
-and hubs are joined by sort-merge, which adaptive execution splits; hot shingles in salted blocks.
+comes last. Pairs whose parity bits differ too much are no candidates either. Of what the filter leaves, one pair of each two classes is compared first, as a link makes their other pairs needless. So no two
+members of a bucket are left uncompared, save those that the filter proves unlike or that share a class. Hot buckets and hubs are joined by
+sort-merge, which adaptive execution splits; hot shingles in salted blocks.
 
 Words: runs of ASCII letters and digits and of characters beyond ASCII, lower case. A text of one to four words has one shingle, of all
 its words. A null text is empty; texts without words are one class if they are equal. A null doc_id is kept; a class of such rows only has
-a negative id. Repeated rows are copies; `keep_first` keeps one of them, whatever its id. Ties between centres go by hash. An empty table gives an empty result. Other columns are not read.
+a negative id. Repeated rows are copies; `keep_first` keeps one of them, whatever its id. Ties between centres go by hash. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from gridloom.llm.shared import Words, discard, free_name, keyed, map_rows, mix, ngrams, stored
 
-REGISTERS, BANDS, SMALL, ROUNDS = 144, 24, 32, 3
+REGISTERS, BANDS, SMALL, ROUNDS = 144, 24, 32, 2
+#: Rounds in which one pair of each two classes is compared, before all pairs of the classes that are still two.
+CENTRES = 3
 #: Counters of shingles, by hash, for the order of the prefix filter; members of a block of a hot shingle.
 COUNTERS, BLOCK = 1 << 20, 2000
+#: Words of 64 parity bits of a set: each shingle turns one over, so two sets' bits differ in at most as many places as the sets do.
+MAPS = 16
+MAP = [f"m{k}" for k in range(MAPS)]
 #: Nodes whose ids may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -158,23 +167,40 @@ def _counters(members: DataFrame) -> np.ndarray:
     return out
 
 
-def candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """members(node, label, shingles) to the pairs (a, b) of two labels that a prefix filter can't prove less alike than the threshold."""
+def prefixes(members: DataFrame, threshold: float) -> DataFrame:
+    """Of members(node, shingles) the shingles of each one's prefix, rarest first: token, node, n (of shingles), pos; and MAPS words of the set's parity bits."""
     held = members.sparkSession.sparkContext.broadcast(_counters(members))
 
     def prefix(rows: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {k: [] for k in ("token", "node", "label", "n", "pos")}
-        for node, label, packed in zip(rows["node"], rows["label"], rows["shingles"]):
+        out: dict[str, list] = {k: [] for k in ("token", "node", "n", "pos", *MAP)}
+        for node, packed in zip(rows["node"], rows["shingles"]):
             own = _set(packed)
             count = held.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
             n = len(own)
             order = np.lexsort((own, count))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
             pos = np.flatnonzero(count[order] > 1)  # one alone is nobody else's
-            for k, v in zip(out, (own[order[pos]].astype(np.int64), [node] * len(pos), [label] * len(pos), [n] * len(pos), pos)):
+            parity = np.packbits(np.bincount((own & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1).view(np.int64)
+            for k, v in zip(out, (own[order[pos]].astype(np.int64), [node] * len(pos), [n] * len(pos), pos, *[[m] * len(pos) for m in parity])):
                 out[k].extend(v)
         return out
 
-    tokens = stored(map_rows(members.select("node", "label", "shingles"), "token long, node long, label long, n int, pos int", prefix), "prefixes")
+    return map_rows(members.select("node", "shingles"), "token long, node long, n int, pos int, " + ", ".join(f"{m} long" for m in MAP), prefix)
+
+
+def _fits(threshold: float) -> Column:
+    """Whether a token's holders x and y are of two labels, both have it early enough for a pair of the threshold, and their parity bits differ
+    in no more places than the shingles of such a pair that only one of them has."""
+    shared = F.ceil(threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    return (F.col("x_label") != F.col("y_label")) & (F.col("x_pos") <= F.col("x_n") - shared) & (F.col("y_pos") <= F.col("y_n") - shared) & (reduce(add, [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in MAP]) <= F.col("x_n") + F.col("y_n") - 2 * shared)
+
+
+def candidates(members: DataFrame, threshold: float) -> DataFrame:
+    """members(node, label, shingles) to the pairs (a, b) of two labels that a prefix filter can't prove less alike than the threshold."""
+    return paired(stored(prefixes(members, threshold).join(members.select("node", "label"), "node"), "prefixes"), threshold).select("a", "b")
+
+
+def paired(tokens: DataFrame, threshold: float) -> DataFrame:
+    """tokens(token, node, label, n, pos) to all pairs (a, b) of two labels that the prefix filter lets pass; with a_label, b_label, and shared, the tokens of both."""
     # a shingle's largest class isn't joined with itself, so the comparisons are at most twice the pairs of two classes
     each = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     hot = each.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
@@ -182,11 +208,20 @@ def candidates(members: DataFrame, threshold: float) -> DataFrame:
     share = threshold / (1 + threshold)
     small = marked.filter(F.col("pos") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = (df.select("token", "salt", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "pos")], (F.col("label") == F.col("most")).alias(f"{side}_most")) for df, side in ((small, "x"), (large, "y")))
-    shared = F.ceil(share * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    fits = (F.col("x_label") != F.col("y_label")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_pos") <= F.col("x_n") - shared) & (F.col("y_pos") <= F.col("y_n") - shared)
+    x, y = (df.select("token", "salt", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "pos", *MAP)], (F.col("label") == F.col("most")).alias(f"{side}_most")) for df, side in ((small, "x"), (large, "y")))
+    fits = _fits(threshold) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
     met = x.filter("not x_most").join(y, ["token", "salt"]).filter(fits).unionByName(x.filter("x_most").join(y.filter("not y_most"), ["token", "salt"]).filter(fits))
-    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    ahead = F.col("x_node") < F.col("y_node")
+    each = [F.when(ahead, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(n) for c, n in (("node", "a"), ("label", "a_label"))] + [F.when(ahead, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(n) for c, n in (("node", "b"), ("label", "b_label"))]
+    return met.select(*each).groupBy("a", "b", "a_label", "b_label").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs(a_label, b_label, ..) without those whose classes of then have since become one; the classes are looked up, not the pairs."""
+    now = lambda side: labels.select(F.col("node").alias(f"{side}_label"), F.col("label").alias(f"{side}_now"))
+    kinds = pairs.select("a_label", "b_label").distinct().join(now("a"), "a_label", "left").join(now("b"), "b_label", "left")
+    one = kinds.filter(F.coalesce("a_now", "a_label") == F.coalesce("b_now", "b_label")).select("a_label", "b_label")
+    return pairs.join(stored(one, "one"), ["a_label", "b_label"], "left_anti")
 
 
 def _joined(df: DataFrame, ids: DataFrame, on: str, count: int, how: str = "inner") -> DataFrame:
@@ -238,10 +273,21 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
         labels = components(links)
     marked = shared.filter(F.col("size") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stored(marked.join(stored(open_, "unlike"), "bucket").select("node", "label").distinct(), "open")
+    left = stored(marked.join(stored(open_, "unlike"), "bucket").select("node").distinct(), "open")
     if not left.isEmpty():
-        more = stored(verified(candidates(stored(sets.join(left, "node"), "members"), threshold)), "verified")
-        labels = components(links.union(more))
+        tokens = prefixes(stored(sets.join(left, "node"), "members"), threshold)
+        own = stored(tokens.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"), *MAP), "prefixes")
+        pairs = stored(paired(own, threshold), "pairs")
+        for k in range(CENTRES):  # one pair of each two classes: where it links them, their other pairs need no comparison
+            likely = F.struct(F.col("shared") if k == 0 else F.lit(0), F.xxhash64("a", "b", F.lit(k)))
+            best = pairs.groupBy("a_label", "b_label").agg(F.max_by(F.struct("a", "b"), likely).alias("p")).select("p.a", "p.b")
+            more = stored(verified(best), "verified")
+            if more.isEmpty():
+                break
+            links = links.union(more)
+            labels = components(links)
+            pairs = stored(_apart(pairs, labels), "pairs")
+        labels = components(links.union(stored(verified(pairs.select("a", "b")), "verified")))
     named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     rows = stored(sketch.join(named, "key").select("doc_id", "row", "label", *[c for c in sketch.columns if c == "_row"]), "labelled")
     # a table of its own, so that the join with it shuffles both sides and a large class can be split
