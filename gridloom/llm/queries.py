@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import table
+from gridloom.llm.shared import keyed, table
 
 
 def tokenizer_path() -> str:
@@ -56,10 +56,7 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 old shards, by a hash of the id, to 40 of equal rows, written; the digests are of the files read back."""
     from gridloom.llm.reshard import resharded
 
-    docs = table(spark, sf_dir, "documents")
-    # a row's file and place in it: the same in each scan
-    docs = docs.select("*", F.concat_ws(":", F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")).alias("_row"))
-    return resharded(docs, 32, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    return resharded(keyed(table(spark, sf_dir, "documents")), 32, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from gridloom.llm.shared import map_rows, ranked, shared_dir, stored
 
 OVERHEAD = 16
+#: Bytes of text that a task which writes takes in the mean; it writes a file of each shard.
+PART_BYTES = 256 << 20
 
 
 def cheapest_flow(supply: list[int], cost: list[float], home: list[int], capacity: list[int]) -> list[dict[int, int]]:
@@ -151,18 +153,19 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     moved = placed.filter(F.col("shard") != F.col("old_shard"))
     touched = stored(moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "touched")
-    keyed = "_row" in docs.columns and "_row" in placed.columns
     own = docs.drop("shard", "slot", "old_shard")
-    if keyed:
-        given = placed.join(F.broadcast(touched), "shard", "left_semi").select("_row", "shard", "slot", "old_shard")
-        rows = own.join(given, "_row").drop("_row")
+    if "_row" in docs.columns and "_row" in placed.columns:
+        given = placed.join(F.broadcast(touched), "shard", "left_semi").select("_row", "size", "shard", "slot", "old_shard")
+        parts = max(spark.sparkContext.defaultParallelism, (given.agg(F.sum("size")).first()[0] or 0) // PART_BYTES)
+        # dealt by the row's key once, and written from there: the texts are shuffled once
+        rows = own.repartition(parts, "_row").join(given.drop("size").repartition(parts, "_row"), "_row").drop("_row")
     else:
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         keys = {"doc_id": F.col("doc_id"), "size": (F.octet_length(text) + F.lit(OVERHEAD)).cast("long"), "text_crc32": F.crc32(text)}
         left = _equals(docs.select(F.struct(*own.columns).alias("_doc"), *[v.alias(k) for k, v in keys.items()])).alias("a")
         right = _equals(placed).join(F.broadcast(touched), "shard", "left_semi").alias("b")
         rows = left.join(right, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_nth")]).select("_doc.*", "shard", "slot", "old_shard")
-    rows.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for r in touched.join(F.broadcast(placed.select("shard").distinct()), "shard", "left_anti").collect():

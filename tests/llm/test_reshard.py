@@ -102,3 +102,15 @@ def test_query_reads_back_what_it_wrote(spark, small, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
     assert sorted(map(tuple, files)) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in got if r["shard"] in touched)
     assert all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]]) and r["size"] == len(docs[r["doc_id"]]) + 16 for r in got)
+
+
+def test_bytes_moved_are_near_the_least(spark, medium):
+    """A shard that gives rows away gives of its smallest classes; within a class by hash, so the bytes are within 2 % of the least there can be."""
+    rows = reshard.reshard(reshard.sized(spark.read.parquet(f"{medium}/documents.parquet"), 32), 40).collect()
+    moved, least = 0, 0
+    for old in range(32):
+        own = [r for r in rows if r["old_shard"] == old]
+        gone = [r["size"] for r in own if r["shard"] != old]
+        moved += sum(gone)
+        least += sum(sorted(r["size"] for r in own)[: len(gone)])
+    assert 0 < moved <= 1.02 * least
