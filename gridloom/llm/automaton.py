@@ -101,8 +101,20 @@ class Automaton:
         return len(self.accepts)
 
 
-def compile_rules(rules: list[str], ceiling: int = 60_000) -> Automaton:
-    """The minimal automaton that reports, at each byte, which rules have a match that ends there."""
+def reversed_tree(node: Node) -> Node:
+    """The tree of the rule read backwards."""
+    if node[0] == "cat":
+        return ("cat", [reversed_tree(part) for part in node[1][::-1]])
+    if node[0] == "alt":
+        return ("alt", [reversed_tree(part) for part in node[1]])
+    return node if node[0] == "set" else ("rep", reversed_tree(node[1]), *node[2:])
+
+
+def compile_rules(rules: list[str], ceiling: int = 60_000, backwards: bool = False) -> Automaton:
+    """The minimal automaton that reports, at each byte, which rules have a match that ends there.
+
+    backwards: instead, the rules read backwards, from the first byte on only: it reports where a match that ends at the first byte begins.
+    """
     moves: list[list[tuple[int, int]]] = []
     empty: list[list[int]] = []
 
@@ -148,7 +160,7 @@ def compile_rules(rules: list[str], ceiling: int = 60_000) -> Automaton:
     for k, rule in enumerate(rules):
         s = state()
         empty[root].append(s)
-        final[build(parse(rule), s)] = 1 << k
+        final[build(reversed_tree(parse(rule)) if backwards else parse(rule), s)] = 1 << k
 
     # bytes that no set tells apart are one class
     sets = sorted({bits for own in moves for bits, _ in own})
@@ -174,7 +186,7 @@ def compile_rules(rules: list[str], ceiling: int = 60_000) -> Automaton:
         row = []
         for b in sample:
             target = {t for s in subset for bits, t in moves[s] if bits >> b & 1}
-            nxt = closure(target) | start
+            nxt = closure(target) if backwards else closure(target) | start
             if nxt not in number:
                 number[nxt] = len(number)
                 queue.append(nxt)
@@ -207,40 +219,111 @@ def compile_rules(rules: list[str], ceiling: int = 60_000) -> Automaton:
     return Automaton(small.astype(np.uint16 if len(small) < 65536 else np.uint32).ravel(), klass, small.shape[1], marks, np.isin(klass, back))
 
 
-def scan(auto: Automaton, texts: list[bytes], chunk: int = 1024) -> np.ndarray:
-    """For each text, the bits of the rules with a match in it: one pass over the bytes, many pieces of text abreast.
+@dataclass
+class Hits:
+    """The bytes of some texts, one after another; edge[i]: where text i begins; found: at each byte, the bits of the rules with a match that ends there."""
+
+    buf: np.ndarray
+    edge: np.ndarray
+    found: np.ndarray
+
+    def runs(self, rule: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the longest runs of bytes at which matches of the rule end, none over two texts."""
+        at = np.flatnonzero(self.found >> np.uint8(rule) & np.uint8(1)) if self.found.any() else np.zeros(0, np.int64)
+        if not len(at):
+            return at, at
+        new = np.concatenate(([True], (np.diff(at) > 1) | np.isin(at[1:], self.edge)))
+        return at[new], np.append(at[:-1][new[1:]], at[-1]) + 1
+
+
+def _entries(auto: Automaton, klass: np.ndarray, start: np.ndarray, follows: np.ndarray, chunk: int) -> np.ndarray:
+    """The states in which pieces begin, where a piece that follows another begins in the state that the other, of `chunk` bytes, ends in.
+
+    All pieces are run abreast, each from every state that its last byte before can lead to; runs that meet go on as one. The states are then
+    read off from piece to piece.
+    """
+    states, entry = auto.states, np.zeros(len(start), np.int64)
+    asked = np.flatnonzero(np.append(follows[1:], False))  # whose end is asked for
+    if not len(asked):
+        return entry
+    table = auto.step.reshape(states, auto.classes)
+    after = [np.unique(table[:, c]) for c in range(auto.classes)]
+    begin = [after[klass[start[i] - 1]] if follows[i] else np.zeros(1, np.int64) for i in asked]
+    piece = np.repeat(np.arange(len(asked)), [len(b) for b in begin])
+    origin = np.concatenate(begin).astype(np.int64)
+    lead = np.arange(len(piece))  # which run each origin is in
+    run_piece, state = piece, origin
+    for t in range(chunk):
+        state = auto.step[state * auto.classes + klass[start[asked][run_piece] + t]].astype(np.int64)
+        if t & (t + 1) == 0:
+            key, back = np.unique(run_piece * states + state, return_inverse=True)
+            lead, run_piece, state = back.reshape(-1)[lead], key // states, key % states
+    ends = dict(zip((piece * states + origin).tolist(), state[lead].tolist()))
+    place = {int(i): k for k, i in enumerate(asked)}
+    for i in np.flatnonzero(follows):
+        entry[i] = ends[place[i - 1] * states + int(entry[i - 1])]
+    return entry
+
+
+def scan(auto: Automaton, texts: list[bytes], chunk: int = 1024) -> Hits:
+    """Where matches end: one pass over the bytes, many pieces of text abreast.
 
-    A text is cut only after a byte that leads every state to the start; a text without such bytes is one piece.
+    A text is cut after bytes that lead every state to the start. Where such bytes are far apart it is cut all the same, and the states at the
+    cuts come from _entries. There may be eight rules.
     """
-    found = np.zeros(len(texts), np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    if not len(buf):
-        return found
     length = np.fromiter(map(len, texts), np.int64, len(texts))
-    edge = np.concatenate(([0], np.cumsum(length)))
+    edge = np.concatenate(([0], np.cumsum(length)))[:-1]
+    found = np.zeros(len(buf), np.uint8)
+    if not len(buf):
+        return Hits(buf, edge, found)
+    klass = auto.klass[buf]
+    cuts = [edge]
     after = np.flatnonzero(auto.resets[buf]) + 1
-    cuts = [edge[:-1]]
     if len(after):
-        wanted = np.arange(chunk, len(buf), chunk)
-        near = after[np.minimum(np.searchsorted(after, wanted), len(after) - 1)]
-        cuts.append(near[near < len(buf)])
+        near = after[np.minimum(np.searchsorted(after, np.arange(chunk, len(buf), chunk)), len(after) - 1)]
+        cuts.append(near)
     start = np.unique(np.concatenate(cuts))
     start = start[start < len(buf)]
     size = np.diff(np.append(start, len(buf)))
-    owner = np.searchsorted(edge, start, side="right") - 1
+    parts = np.where(size > 4 * chunk, size // chunk, 1)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(start, parts) + nth * chunk
+    size = np.diff(np.append(start, len(buf)))
+    state = _entries(auto, klass, start, nth > 0, chunk)
     order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    klass = auto.klass[buf]
-    state = np.zeros(len(start), np.int64)
-    marks = np.zeros(len(start), np.int64)
+    start, size, state = start[order], size[order], state[order]
     accepting = int((auto.accepts == 0).sum())
     live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # pieces longer than t
     for t in range(int(size[0])):
         k = live[t]
         own = auto.step[state[:k] * auto.classes + klass[start[:k] + t]]
         state[:k] = own
-        hit = own >= accepting
-        if hit.any():
-            marks[:k][hit] |= auto.accepts[own[hit]]
-    np.bitwise_or.at(found, owner, marks)
-    return found
+        hit = np.flatnonzero(own >= accepting)
+        if len(hit):
+            found[start[hit] + t] = auto.accepts[own[hit]]
+    return Hits(buf, edge, found)
+
+
+class Backwards:
+    """The beginnings of a rule's matches, by the automaton of the rule read backwards."""
+
+    def __init__(self, rule: str) -> None:
+        auto = compile_rules([rule], backwards=True)
+        table = auto.step.reshape(auto.states, auto.classes).astype(np.int64)
+        own = np.arange(auto.states)
+        dead = np.flatnonzero((table == own[:, None]).all(1) & (auto.accepts == 0))
+        self.dead = int(dead[0]) if len(dead) else -1
+        self.rows = [row[auto.klass].tolist() for row in table]
+        self.accepts = (auto.accepts > 0).tolist()
+
+    def first(self, data: bytes, end: int, floor: int) -> int:
+        """The leftmost place, from floor on, where a match that ends at `end` begins; -1 if there is none."""
+        state, best = 0, -1
+        for p in range(end - 1, floor - 1, -1):
+            state = self.rows[state][data[p]]
+            if state == self.dead:
+                break
+            if self.accepts[state]:
+                best = p
+        return best

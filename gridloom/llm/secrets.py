@@ -1,51 +1,41 @@
 """Secret scans by one combined deterministic automaton.
 
 All rules are compiled by subset construction and minimised into one table of transitions; each text's bytes are read once, and the
-automaton tells which rules have a match there. Only for those texts and rules are the exact spans taken, leftmost and not overlapping
-within a kind, in code points.
+automaton tells at each byte which rules have a match that ends there. Every rule ends in a run of characters of one class, or in one place,
+so a match's end is the end of a run of such bytes, and the run's length the number of those characters. The match's beginning is found
+backwards from there, by the automaton of its rule reversed. Spans are leftmost and not overlapping within a kind, in code points.
 
-Nulls: a null text is empty and has no span; a null doc_id is kept. Very long texts are scanned whole, in pieces cut where the automaton
-is at its start. Repeated rows each get their result. An empty table gives an empty result. Other columns pass by unread in `find`, and
-are kept by `redact`.
+Nulls: a null text is empty and has no span; a null doc_id is kept. Very long texts are scanned whole, in pieces abreast. Repeated rows each
+get their result. An empty table gives an empty result. Other columns pass by unread in `find`, and are kept by `redact`.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.automaton import Automaton, compile_rules, scan
+from gridloom.llm.automaton import Automaton, Backwards, compile_rules, scan
 from gridloom.llm.shared import map_rows, map_texts
 
-#: The kinds, in order; the rule of the automaton, on bytes, which each match has as a part (long counts are left to the
-#: exact pattern where overlapping starts would multiply the states); the exact pattern, on text; what a match must hold besides.
+#: The kinds, in order; the rule of each, on bytes; the characters that the last run of a match must have; whether a match
+#: with fewer still takes its place, so that no other of the kind begins in it. (A run of hex begins at the match's sixth character: 24 in all.)
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "jwt", "live_key")
 BASE = 3
 RULES = (
-    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]""",
-    r"AKIA[A-Z0-9]{4}",
-    r"[0-9a-f]{24}",
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""",
+    r"AKIA[A-Z0-9]+",
+    r"[0-9a-f]{6,}",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"gh[pousr]_[A-Za-z0-9]",
-    r"xox[abprs]-[A-Za-z0-9\-]",
-    r"eyJ[A-Za-z0-9_\-]",
-    r"[sr]k_live_[A-Za-z0-9]",
+    r"gh[pousr]_[A-Za-z0-9]+",
+    r"xox[abprs]-[A-Za-z0-9\-]+",
+    r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+",
+    r"[sr]k_live_[A-Za-z0-9]+",
 )
-EXACT = (
-    re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
-    re.compile(r"AKIA[A-Z0-9]+"),
-    re.compile(r"[0-9a-f]+"),
-    re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"),
-)
-KEEP = (lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24, *[lambda m: True] * 5)
+LEAST = (6, 16, 19, 1, 36, 10, 1, 16)
+TAKES = (True, False, False, False, False, False, False, False)
 
 
 @lru_cache(1)
@@ -53,13 +43,37 @@ def automaton() -> Automaton:
     return compile_rules(list(RULES))
 
 
-def spans_of(text: str, marks: int) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the marked kinds, sorted."""
-    out = []
-    for k in range(len(KINDS)):
-        if marks >> k & 1:
-            out += [(m.start(), k, m.end()) for m in EXACT[k].finditer(text) if KEEP[k](m)]
-    return sorted(out)
+@lru_cache(1)
+def _backwards() -> list[Backwards]:
+    return [Backwards(rule) for rule in RULES]
+
+
+def spans_of(auto: Automaton, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of each text's spans, sorted."""
+    data = [(t or "").encode("utf-8", "replace") for t in texts]
+    hits = scan(auto, data)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for k, back in enumerate(_backwards()):
+        first, end = hits.runs(k)
+        if not TAKES[k]:
+            long = end - first >= LEAST[k]
+            first, end = first[long], end[long]
+        owner = np.searchsorted(hits.edge, first, side="right") - 1
+        last, floor = -1, 0
+        for i, a, b in zip(owner.tolist(), (first - hits.edge[owner]).tolist(), (end - hits.edge[owner]).tolist()):
+            floor = floor if i == last else 0
+            last = i
+            start = back.first(data[i], b, floor)
+            if start >= 0:
+                floor = b
+                if b - a >= LEAST[k]:
+                    out[i].append((start, k, b))
+    for i, own in enumerate(out):
+        if own and len(data[i]) != len(texts[i]):  # bytes to code points
+            points = np.cumsum((np.frombuffer(data[i], np.uint8) & 0xC0) != 0x80)
+            own = [(int(points[s]) - 1, k, int(points[e - 1])) for s, k, e in own]
+        out[i] = sorted(own)
+    return out
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -67,9 +81,7 @@ def find(docs: DataFrame) -> DataFrame:
     auto = automaton()
 
     def run(rows: dict[str, list]) -> dict[str, object]:
-        texts = [t or "" for t in rows["text"]]
-        marks = scan(auto, [t.encode("utf-8", "replace") for t in texts])
-        found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, int(m))] if m else [] for t, m in zip(texts, marks)]
+        found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own] for own in spans_of(auto, rows["text"])]
         return {"doc_id": rows["doc_id"], "spans": found}
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, spans array<struct<kind:string,start:long,end:long>>", run)
@@ -89,11 +101,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     auto = automaton()
 
     def run(texts: list[str | None]) -> list[str | None]:
-        marks = scan(auto, [(t or "").encode("utf-8", "replace") for t in texts])
         out = list(texts)
-        for i in np.flatnonzero(marks):
+        for i, own in enumerate(spans_of(auto, texts)):
+            if not own:
+                continue
             text, parts, at = texts[i], [], 0
-            for s, _, e in spans_of(text, int(marks[i])):
+            for s, _, e in own:
                 if e <= at:
                     continue
                 if s >= at and (s > at or not parts):
