@@ -1,13 +1,13 @@
 """Packing of documents into training sequences by cutting-stock column generation.
 
 A document's ids, with an end id, are cut into chunks of the sequence length and one rest. The histogram of the chunks' lengths, in
-classes of `grain` ids, is the demand of a cutting-stock problem. Its linear program is solved by column generation: the dual values of
+classes of `grain` ids, short ones in bundles, is the demand of a cutting-stock problem. Its linear program is solved by column generation: the dual values of
 the present patterns price every length, a knapsack program over the capacity finds the pattern of most value, and the simplex step takes
 it in until none is worth more than one sequence. The program's pattern counts are rounded down, what remains is packed one sequence at a time,
 the widest left and what fills it best, and the
 chunks, ranked within their length class, are dealt to the patterns' places.
 
-Only the histogram, of at most capacity/grain rows, reaches the driver; only the plan, of at most that many patterns and the rounded
+Only the histogram, of some hundred rows, reaches the driver; only the plan, of at most that many patterns and the rounded
 rest, reaches the executors. Ranks are numbered in salted parts, so a length shared by a third of all documents is no single task.
 
 Nulls: a null text is empty and becomes its end id alone. A null doc_id is kept. Repeated rows are packed as often as they come. Ties in
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from math import gcd
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -163,22 +164,39 @@ def plan(width: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
     return Plan(np.concatenate(([0], np.cumsum([len(e) for e in entries]))), flat[:, 0], flat[:, 1], flat[:, 2], sequence, bound)
 
 
+def bundle(length: int, grain: int) -> int:
+    """How many pieces of a short length are planned as one, so that rounding their sum up to the grain adds nothing, or little."""
+    if length < 8 * grain:
+        return grain // gcd(length, grain)
+    return max(1, 32 * grain // (1 << (length.bit_length() - 1)))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, grain: int = 8) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    grain: ids of a length class; lengths are rounded up to it for the plan, so a sequence is at most its pieces times grain short.
+    grain: what lengths are rounded up to for the plan. Pieces under 32 grains are ranked by their exact length and planned in bundles, in which
+    under 8 grains nothing is lost by rounding, and beyond that under grain in 32 of them.
     """
-    cut = stored(pieces(docs, tokenizer, capacity, end_id).withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int")), "pieces")
+    wide = F.when(F.col("length") < 32 * grain, F.col("length")).otherwise(F.ceil(F.col("length") / F.lit(grain)) * grain).cast("int").alias("class")
+    cut = stored(pieces(docs, tokenizer, capacity, end_id).select("*", wide, F.monotonically_increasing_id().alias("piece")), "pieces")
     histogram = sorted((r["class"], r["n"]) for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect())
     classes = np.array([c for c, _ in histogram], np.int64)
-    demand = np.array([n for _, n in histogram], np.int64)
-    plans = plan(classes, demand, capacity // grain)
-    numbered = ranked(cut, ["class"], ["doc_id", "start"], ["doc_id", "start", "ids_crc32"], int(demand.sum()))
+    each = np.array([bundle(c, grain) for c, _ in histogram], np.int64)
+    bundles = np.array([-(-n // b) for (_, n), b in zip(histogram, each.tolist())], np.int64)
+    widths, kind = np.unique(-(-classes * each // grain), return_inverse=True)
+    before = np.zeros(len(classes), np.int64)  # bundles of the same width from the classes before
+    demand = np.zeros(len(widths), np.int64)
+    for i, k in enumerate(kind.tolist()):
+        before[i] = demand[k]
+        demand[k] += bundles[i]
+    plans = plan(widths, demand, capacity // grain)
+    # salted by the piece, so that the pieces of equal or missing ids are no one task's
+    numbered = ranked(cut, ["class"], ["piece"], ["doc_id", "start", "piece"], sum(n for _, n in histogram))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
     def place(rows: dict[str, list]) -> dict[str, object]:
         klass = np.searchsorted(classes, np.array(rows["class"], np.int64))
-        return {n: rows[n] for n in names} | {"sequence_id": plans.place(klass, np.array(rows["rank"], np.int64)), "_rank": rows["rank"], "_class": rows["class"]}
+        return {n: rows[n] for n in names} | {"sequence_id": plans.place(kind[klass], before[klass] + np.array(rows["rank"], np.int64) // each[klass]), "_rank": rows["rank"], "_class": rows["class"]}
 
     placed = map_rows(numbered, PIECES + ", sequence_id long, _rank long, _class int", place)
     own = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank")

@@ -82,3 +82,28 @@ def test_column_generation_reaches_the_bound():
 def test_small_optimum():
     plan = packing.plan(np.array([3, 5, 7]), np.array([2, 2, 2]), 10)
     assert plan.sequences == 3  # 7+3, 7+3, 5+5
+
+
+def test_short_texts_fill_their_sequences(spark):
+    """Texts of a few ids, equal or missing ids among them, take no more sequences than their sum of ids asks for, by 2 %."""
+    for texts in (["", None] * 600, ["one", "a b", "x y z w", "", "longer words than those before"] * 700, [" ".join(["w"] * (k % 60)) for k in range(900)]):
+        docs = spark.createDataFrame([(None if k % 3 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        rows = packing.pack(docs, tokenizer_path()).collect()
+        total, used = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
+        assert len(rows) == len(texts) and used <= 1 + 1.02 * total / 2048
+        own = {}
+        for r in rows:
+            own.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in own.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+
+
+def test_bundles_lose_little():
+    for length in range(1, 256):
+        n = packing.bundle(length, 8)
+        lost = -(-n * length // 8) * 8 - n * length
+        assert n * length <= 512 and (lost == 0 if length < 64 else lost < n * length / 32)
