@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import Words, fold, map_rows, mix
+from gridloom.llm.shared import Words, fold, hash_sample, map_rows, mix
 
 #: Bits of a feature's index.
 WIDTH = 20
@@ -31,8 +31,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     The ids are at most 2 x rows, so they are broadcast, and no text is shuffled.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    part = [known.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(part[0].union(part[1])), "doc_id").dropDuplicates(["doc_id"])
+    chosen = hash_sample(known, "doc_id", "y", rows).select("doc_id", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 @dataclass

@@ -182,13 +182,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     histogram = sorted((r["class"], r["n"]) for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect())
     classes = np.array([c for c, _ in histogram], np.int64)
     each = np.array([bundle(c, grain) for c, _ in histogram], np.int64)
-    bundles = np.array([-(-n // b) for (_, n), b in zip(histogram, each.tolist())], np.int64)
-    widths, kind = np.unique(-(-classes * each // grain), return_inverse=True)
-    before = np.zeros(len(classes), np.int64)  # bundles of the same width from the classes before
-    demand = np.zeros(len(widths), np.int64)
-    for i, k in enumerate(kind.tolist()):
+    count = np.array([n for _, n in histogram], np.int64)
+    whole = count // each  # bundles; what is over is planned piece by piece
+    planned = np.concatenate([-(-classes * each // grain), -(-classes // grain)])
+    widths, kind = np.unique(planned, return_inverse=True)
+    before, demand = np.zeros(len(planned), np.int64), np.zeros(len(widths), np.int64)  # before: of the same width, from the entries before
+    for i, (k, n) in enumerate(zip(kind.tolist(), np.concatenate([whole, count - whole * each]).tolist())):
         before[i] = demand[k]
-        demand[k] += bundles[i]
+        demand[k] += n
+    some = np.flatnonzero(demand)
+    kind = np.searchsorted(some, kind)
+    widths, demand = widths[some], demand[some]
     plans = plan(widths, demand, capacity // grain)
     # salted by the piece, so that the pieces of equal or missing ids are no one task's
     numbered = ranked(cut, ["class"], ["piece"], ["doc_id", "start", "piece"], sum(n for _, n in histogram))
@@ -196,7 +200,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
     def place(rows: dict[str, list]) -> dict[str, object]:
         klass = np.searchsorted(classes, np.array(rows["class"], np.int64))
-        return {n: rows[n] for n in names} | {"sequence_id": plans.place(kind[klass], before[klass] + np.array(rows["rank"], np.int64) // each[klass]), "_rank": rows["rank"], "_class": rows["class"]}
+        rank = np.array(rows["rank"], np.int64)
+        over = rank - whole[klass] * each[klass]
+        entry = np.where(over < 0, klass, klass + len(classes))
+        nth = np.where(over < 0, rank // each[klass], over)
+        return {n: rows[n] for n in names} | {"sequence_id": plans.place(kind[entry], before[entry] + nth), "_rank": rows["rank"], "_class": rows["class"]}
 
     placed = map_rows(numbered, PIECES + ", sequence_id long, _rank long, _class int", place)
     own = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank")

@@ -240,3 +240,69 @@ def test_foreign_scripts_are_rejected_and_numbers_are_not(tables, docs_of):
     rows = [("это совсем другой язык, которого модель не знает", None), (own + " 4284896609045836 25.102.19.31 +1 (208) 555-1177 123456789", None), ("1234 5678", None)]
     got = [r["rejected"] for r in langid.identify(docs_of(rows), model).orderBy("doc_id").collect()]
     assert got == [True, False, True]
+
+
+def test_ftrl_equals_plain_steps():
+    """The learner against the update written out for one weight at a time."""
+    r = np.random.default_rng(2)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.4, 0.7
+    learner = linear.Ftrl(6, alpha, beta, l1, l2)
+    z, n = [0.0] * 7, [0.0] * 7
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(60):
+        at = np.sort(r.choice(7, 3, replace=False))
+        gradient = r.normal(0, 2, 3)
+        learner.update(at, gradient)
+        for i, g in zip(at.tolist(), gradient.tolist()):
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+            z[i], n[i] = z[i] + g - sigma * weight(i), n[i] + g * g
+    assert np.allclose(learner.weights(slice(None)), [weight(i) for i in range(7)])
+
+
+def test_toxicity_features_equal_plain_ones():
+    texts = ["Woman and Womanly, WOMAN!", "", None, "und das Mädchen 42 x"]
+    found = toxicity.features(texts)
+    one = lambda word: set(toxicity.features([word])[0][0].tolist())
+    for text, (index, value) in zip(texts, found):
+        words = (text or "").lower().replace(",", "").replace("!", "").split()
+        plain = {("w", w) for w in words} | {(n, w.encode()[:n]) for w in words for n in (4, 5, 6) if len(w.encode()) > n}
+        assert len(index) == len(plain) and (value == 1).all()
+        assert set(index.tolist()) == set().union(*map(one, words), set())
+
+
+def test_quality_features_equal_plain_ones():
+    import re
+    from collections import Counter
+
+    text = "The 12 cats, the 3 CATS sat!! on the mat"
+    tokens = text.split()
+    shape = lambda w: re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", w))))
+    shapes = [shape(w) for w in tokens]
+    want = Counter()
+    for kind, (of, n) in enumerate(((tokens, 1), (tokens, 2), (shapes, 1), (shapes, 2), (shapes, 3))):
+        want.update((kind, tuple(of[i : i + n])) for i in range(len(of) - n + 1))
+    index, value = quality.features([text])[0]
+    assert len(index) == len(want) and np.allclose(sorted(value), sorted(np.sqrt(c / len(tokens)) for c in want.values()))
+    assert quality.features([None])[0][0].size == 0
+
+
+def test_counterfactuals_close_the_gap(tables):
+    """On labelled rows of the tables that no model was fitted on: swapping identity terms moves the logit less with the penalty than without."""
+    docs, labels = tables
+    rows = docs.join(labels, "doc_id").filter("toxic is not null").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    train, rest = [r for r in rows if not held(r["doc_id"])], [r for r in rows if held(r["doc_id"])]
+    own = [(r["toxic"], *f) for r, f in zip(train, toxicity.features([r["text"] for r in train]))]
+    twins = {k: toxicity.features([t])[0] for k, r in enumerate(train) if (t := toxicity.swapped(r["text"]))}
+    pairs = [(r["text"], t) for r in rest if (t := toxicity.swapped(r["text"]))]
+    assert len(twins) > 20 and len(pairs) > 5
+    gap, wrong = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(own, twins, penalty=penalty)
+        logits = [[model.logit(*toxicity.features([t])[0]) for t in p] for p in pairs]
+        gap[penalty] = np.mean([abs(a - b) for a, b in logits])
+        clean = [r["text"] for r in rest if r["toxic"] == 0 and toxicity.swapped(r["text"])]
+        wrong[penalty] = np.mean([model.logit(*toxicity.features([t])[0]) >= 0 for t in clean])
+    assert gap[toxicity.PENALTY] <= gap[0.0] and wrong[toxicity.PENALTY] <= wrong[0.0] and gap[toxicity.PENALTY] < 0.2
