@@ -7,9 +7,10 @@ contexts are another, with the weights left for the lower order. A text's cross-
 characters, numbers apart; the language of the lowest is chosen. A batch's distinct words are scored once, and remembered by the worker.
 
 The models are fitted on at most SAMPLE / 2 documents of each language, of those whose crc32(doc_id) mod 5 is not 0; the rest of the corpus
-is scored, whole. Rejection is calibrated on as many documents that no model has seen: of those that go to a language, the cross-entropy
-that only the share FALSE_REJECTION exceeds is the language's limit; or, if that is higher, as it is where the documents are few, what a
-normal distribution of the logarithms gives. A text over the limit of its best language is rejected; so is one that has no letter.
+is scored, whole. Rejection is calibrated on as many documents that no model has seen, as multiples of the median cross-entropy of those that
+go to the same language: a language's limit is its median times the multiple that only the share FALSE_REJECTION of them all exceeds; or, if
+that is higher, as it is where the documents are few, times what a normal distribution of the logarithms gives. Labels are taken at their
+word: other text labelled as a language widens the limits. A text over the limit of its best language is rejected; so is one without a letter.
 
 Nulls and texts without a letter are `und`, with score 0. A text with letters gets a learned language; without any training row all are `und`. Ties go to the
 language first in order. Repeated rows get equal results; a null doc_id is kept; an empty table gives an empty result.
@@ -225,14 +226,13 @@ def fit(docs: DataFrame) -> Model | None:
 
 def limits(k: np.ndarray, bits: np.ndarray, languages: int) -> np.ndarray:
     """Each language's limit from the cross-entropies of unseen texts whose best language is k; a language without such texts has the highest of the others."""
-    out = np.full(languages, np.nan)
-    tail = NormalDist().inv_cdf(1 - FALSE_REJECTION)
-    for x in range(languages):
-        own = bits[k == x]
-        if len(own):
-            logs = np.log(np.maximum(own, 1e-9))
-            out[x] = max(np.quantile(own, 1 - FALSE_REJECTION, method="higher"), np.exp(logs.mean() + tail * logs.std()))
-    return np.where(np.isnan(out), np.nanmax(out) if np.isfinite(out).any() else np.inf, out)
+    if not len(bits):
+        return np.full(languages, np.inf)
+    middle = np.array([np.median(bits[k == x]) if (k == x).any() else np.nan for x in range(languages)])
+    multiple = bits / middle[k]
+    tail = np.exp(NormalDist().inv_cdf(1 - FALSE_REJECTION) * np.log(np.maximum(multiple, 1e-9)).std())
+    most = max(np.quantile(multiple, 1 - FALSE_REJECTION, method="higher"), tail)
+    return most * np.where(np.isnan(middle), np.nanmax(middle), middle)
 
 
 _scorers: dict[str, Scorer] = {}

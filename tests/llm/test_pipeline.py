@@ -12,7 +12,7 @@ def test_stages_and_their_decisions(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet").filter("doc_id < 200")
     r = random.Random(6)
     planted = {1_000_000 + k: t for k, t in enumerate([*FOREIGN, *(garbled(r) for _ in range(4)), None, "", "12 34"])}
-    docs = spark.createDataFrame([*docs.collect(), *[(i, t, "en", "planted", len(t or "")) for i, t in planted.items()]], docs.schema).repartition(4)
+    docs = spark.createDataFrame([*docs.collect(), *[(i, t, None, "planted", len(t or "")) for i, t in planted.items()]], docs.schema).repartition(4)
     kept = docs
     before = {r["doc_id"]: r for r in docs.collect()}
     for name, stage in P.STAGES[:-1]:
