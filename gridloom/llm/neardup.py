@@ -148,6 +148,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label), of all nodes, after further links(a, b): only the links between classes are followed."""
+    now = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = links.join(now("a"), "a").join(now("b"), "b").filter("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    over = components(between).select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return stored(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+
+
 def _counters(members: DataFrame) -> np.ndarray:
     """How many shingles of members(shingles) fall on each of COUNTERS counters."""
 
@@ -254,8 +262,8 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
         both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         return both.filter(similarity("x", "y") >= F.lit(threshold)).select("a", "b")
 
-    links = stored(verified(pairs), "verified")
-    labels = components(links)
+    found = components(stored(verified(pairs), "verified"))
+    labels = stored(involved.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     for k in range(1, rounds):
         marked = shared.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
         draw = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node"), F.col("label"))
@@ -269,8 +277,7 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
         more = stored(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "verified")
         if more.isEmpty():
             break
-        links = links.union(more)
-        labels = components(links)
+        labels = merged(labels, more)
     marked = shared.filter(F.col("size") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     left = stored(marked.join(stored(open_, "unlike"), "bucket").select("node").distinct(), "open")
@@ -284,16 +291,15 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
             more = stored(verified(best), "verified")
             if more.isEmpty():
                 break
-            links = links.union(more)
-            labels = components(links)
+            labels = merged(labels, more)
             pairs = stored(_apart(pairs, labels), "pairs")
-        labels = components(links.union(stored(verified(pairs.select("a", "b")), "verified")))
+        labels = merged(labels, stored(verified(pairs.select("a", "b")), "verified"))
     named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     rows = stored(sketch.join(named, "key").select("doc_id", "row", "label", *[c for c in sketch.columns if c == "_row"]), "labelled")
     # a table of its own, so that the join with it shuffles both sides and a large class can be split
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     ids = stored(rows.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"), first["row"].alias("first")), "ids")
-    discard(sketch, nodes, size, shared, involved, sets, links)
+    discard(sketch, nodes, size, shared, involved, sets)
     return rows, ids
 
 
