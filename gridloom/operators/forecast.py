@@ -97,10 +97,12 @@ def score(records: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def load(path: str) -> PipelineModel:
-    """The saved model; a path without one is a RuntimeError."""
+    """The saved model; a path without one is a RuntimeError, all other failures are what they are."""
     try:
         return PipelineModel.load(path)
     except Exception as e:
+        if "does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e):
+            raise
         raise RuntimeError(f"no model at {path}") from e
 
 

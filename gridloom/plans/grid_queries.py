@@ -34,14 +34,8 @@ def doubles(df: DataFrame) -> DataFrame:
 def topk_cells(t: Tables) -> DataFrame:
     own = labelled(t).withColumn("code", F.col("p_partkey") % 5)
     inside = own.select("code", "y", "x", F.when(F.col("y") >= 5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("fraction")).distinct()
-    joined = grid.largest(own.withColumnRenamed("code", "part_code"), inside, 10**6, keys=["part_code"])
-    return joined.filter("code = part_code").withColumn("rank", F.row_number().over(_top())).filter("rank <= 3").select("code", F.col("rank").cast("long").alias("rank"), "value")
-
-
-def _top():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("code").orderBy(F.desc("value"), F.desc("y"), F.desc("x"))
+    joined = grid.largest(own.withColumnRenamed("code", "part_code"), inside, 3, keys=["part_code"])
+    return joined.filter("code = part_code").select("code", F.col("rank").cast("long").alias("rank"), "value")
 
 
 @book.add(
@@ -83,12 +77,25 @@ def polygons(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, rings array<array<struct<x:double,y:double>>>")
 
 
-@book.add()
+#: The same shapes in SQL: rectangles that count for or against, and a triangle by the area below its long side.
+FRACTIONS_SQL = """WITH c AS (SELECT i * 0.5::DOUBLE AS x, j * 0.5::DOUBLE AS y FROM range(-12, 24) a(i) CROSS JOIN range(-4, 24) b(j)),
+ r AS (SELECT * FROM (VALUES ('H', 5, 5, 8, 8, 1), ('H', 6, 6, 7, 7, -1), ('U', -4, 0, -3, 3, 1), ('U', -3, 0, -2, 1, 1), ('U', -2, 0, -1, 3, 1)) v(code, w, s, e, n, sign)),
+ a AS (SELECT code, y, x, sign * greatest(0, least(x + 0.25, e) - greatest(x - 0.25, w)) * greatest(0, least(y + 0.25, n) - greatest(y - 0.25, s)) AS a FROM c CROSS JOIN r
+  UNION ALL SELECT 'T', y, x, (pow(greatest(0, 3 - w - s), 2) - pow(greatest(0, 3 - e - s), 2) - pow(greatest(0, 3 - w - n), 2) + pow(greatest(0, 3 - e - n), 2)) / 2
+  FROM (SELECT y, x, greatest(0, x - 0.25) AS w, greatest(0, x + 0.25) AS e, greatest(0, y - 0.25) AS s, greatest(0, y + 0.25) AS n FROM c)),
+ k AS (SELECT code, y, x, sum(a) AS a FROM a GROUP BY ALL HAVING sum(a) > 1e-12)
+ SELECT code, y, x, round(a / max(a) OVER (PARTITION BY code), 9) AS fraction FROM k"""
+
+
+@book.add(FRACTIONS_SQL)
 def cell_fraction(t: Tables) -> DataFrame:
-    return grid.cell_fractions(polygons(t._spark), 0.5)
+    return doubles(grid.cell_fractions(polygons(t._spark), 0.5)).withColumn("fraction", F.round("fraction", 9))
 
 
-@book.add()
+@book.add(
+    """WITH p AS (SELECT * FROM (VALUES ('T', 0, 0), ('T', 3, 0), ('T', 0, 3), ('H', 5, 5), ('H', 8, 8), ('U', -4, 0), ('U', -1, 3)) v(code, x, y))
+ SELECT code, (min(x) - 1)::DOUBLE AS west, (min(y) - 1)::DOUBLE AS south, (max(x) + 1)::DOUBLE AS east, (max(y) + 1)::DOUBLE AS north FROM p GROUP BY 1"""
+)
 def shape_bounds(t: Tables) -> DataFrame:
     return grid.bounds(polygons(t._spark))
 

@@ -41,8 +41,11 @@ def _at(day: str, hour: str, less: int = 0) -> str:
     return f"cast(cast({day} as date) as timestamp_ntz) + make_dt_interval(0, int({hour}) - {less})"
 
 
-def _drop_last(order: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy(F.col(order).desc()))).filter("_n > 1").drop("_n")
+def _drop_last_of_day(order: str) -> Callable[[DataFrame], DataFrame]:
+    """Without the last row of each code and day asked for, as it belongs to the next day's request. A day goes up to and with the midnight after it."""
+    day = F.to_date(F.to_timestamp_ntz(F.substring(order, 1, 19)) - F.expr("INTERVAL 1 SECOND"))
+    last = F.row_number().over(Window.partitionBy("code", "_day").orderBy(F.col(order).desc()))
+    return lambda df: df.withColumn("_day", day).withColumn("_n", last).filter("_n > 1").drop("_n", "_day")
 
 
 def _market_west(df: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ CONNECTORS: dict[str, Connector] = {
     "aemo_wem_new": Connector("operationalDemand", "asAtTimeStamp", None),
     "aeso": Connector("load", "ts", "", requests=None, prepare=areas),
     "bchydro": Connector("load", "ts", "", requests=Q.years, prepare=lambda df: df.filter("load is not null and load <> 0")),
-    "cammesa": Connector("dem", "fecha", None, requests=Q.days, prepare=lambda df: _drop_last("fecha")(df.filter("dem is not null"))),
+    "cammesa": Connector("dem", "fecha", None, requests=Q.days, prepare=lambda df: _drop_last_of_day("fecha")(df.filter("dem is not null"))),
     "ccei": Connector("OBS_VALUE", "to_timestamp_ntz(replace(TIME_PERIOD, '.000Z', ''), \"yyyy-MM-dd'T'HH:mm:ss\")", "", prepare=lambda df: df.filter("not (code = 'CA_ON' and contains(TIME_PERIOD, '06:59:59'))")),
     "cen": Connector("demanda", _at("fecha", "least(hora, 24)", 1), "America/Santiago", "null", "null", 60, requests=lambda df: Q.intervals(df, "YS")),
     "cenace": Connector("load", "ts", "America/Mexico_City", shift_minutes=60, requests=lambda df: Q.intervals(df, "YS", 10)),

@@ -13,7 +13,7 @@ def write(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str] = ()
     dealt = df.repartition(*by).sortWithinPartitions(*by, *order)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     if csv_path:
-        dealt.write.mode("overwrite").option("header", True).partitionBy(*by).csv(csv_path)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*by).csv(csv_path)
 
 
 def manifest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:

@@ -102,6 +102,7 @@ CASES = [
     ("cen", [("CL", "2024-01-10", 25, 5.0)], "code string, fecha string, hora int, demanda double", [(datetime(2024, 1, 11, 3), 5.0)]),
     ("ccei", [("CA_ON", "2024-01-01T06:59:59.000Z", 1.0), ("CA_ON", "2024-01-01T07:00:00.000Z", 2.0)], "code string, TIME_PERIOD string, OBS_VALUE double", [(datetime(2024, 1, 1, 7), 2.0)]),
     ("cammesa", [("AR", "2024-01-01T00:05:00.000-03:00", 1.0), ("AR", "2024-01-01T00:10:00.000-03:00", 2.0)], "code string, fecha string, dem double", [(datetime(2024, 1, 1, 3, 5), 1.0)]),
+    ("cammesa", [("AR", f"2024-01-0{d}T{h}:00.000-03:00", float(d)) for d, h in ((1, "12:00"), (2, "00:00"), (2, "12:00"), (3, "00:00"))], "code string, fecha string, dem double", [(datetime(2024, 1, 1, 15), 1.0), (datetime(2024, 1, 2, 15), 2.0)]),
     ("eia", [("US_TEX", "2024-01-01T05", "40000")], "code string, period string, value string", [(datetime(2024, 1, 1, 5), 40000.0)]),
     ("aeso", [("CA_AB", datetime(2024, 1, 1), 1.0, None, 2.0)], "code string, ts timestamp_ntz, area_a double, area_b double, area_c double", [(datetime(2024, 1, 1), 3.0)]),
     ("tepco", [("JP", "2023/4/1", "0:00", 300.0)], "code string, DATE string, TIME string, load double", [(datetime(2023, 3, 31, 16), 3000.0)]),
