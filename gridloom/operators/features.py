@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import time as T
 from gridloom.functions.scalar import average_rank
+from gridloom.operators import series
 
 
 def local_fields(df: DataFrame, zone: Column | str, ts: str = "ts") -> DataFrame:
@@ -45,7 +46,8 @@ def mean_over_cells(weather: DataFrame, cells: DataFrame, ks: Sequence[int] = (1
 def temperature_features(df: DataFrame, keys: Sequence[str], zone: Column | str = "UTC", ts: str = "ts", top1: str = "top1", top3: str = "top3", hottest_first: bool = True) -> DataFrame:
     """df with local fields and month_avg, month_rank, year_avg, p05, p95 of top1, by local month and year.
 
-    Months are averaged and ranked in a table of a row per month, percentiles in one of a row per year; both are small and joined back.
+    Months are averaged and ranked in a table of a row per month, percentiles in one of a row per year; both are small and joined back. A
+    percentile's buffer holds one entity's values of one year.
     """
     named = local_fields(df, zone, ts)
     months = named.groupBy(*keys, "year", "month").agg(F.avg(top1).alias("month_avg"))
@@ -66,5 +68,7 @@ def group_mean_normalized(df: DataFrame, by: Sequence[str], value: str, out: str
     return df.join(means, list(by)).withColumn(out, F.col(value) / F.col("_mean")).drop("_mean")
 
 
-def position_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+def position_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "position", block: Column | None = None) -> DataFrame:
+    """df with each row's place in its group, from 0. block as in series.position; without one the first of order is a number, of which a
+    part takes 100,000."""
+    return series.position(df, by, order, F.floor(F.col(order[0]) / 100_000) if block is None else block, out)

@@ -179,7 +179,8 @@ def monthly_stats_rank_avg(t: Tables) -> DataFrame:
 
 @book.add("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentiles_5_95(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for q, n in ((0.05, "p05"), (0.95, "p95"))])
+    own = series.percentiles(t.events, ["event_type"], "value", {"p05": 0.05, "p95": 0.95})
+    return own.select("event_type", F.round("p05", 6).alias("p05"), F.round("p95", 6).alias("p95"))
 
 
 @book.add(
@@ -206,7 +207,7 @@ def normalize_by_group_mean(t: Tables) -> DataFrame:
 
 @book.add("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS position FROM events")
 def hour_of_year_cumcount(t: Tables) -> DataFrame:
-    return features.position_in_group(t.events, ["user_id"], ["ts", "event_id"]).select("event_id", "position")
+    return features.position_in_group(t.events, ["user_id"], ["ts", "event_id"], block=T.floor_unit(F.col("ts"), "day")).select("event_id", "position")
 
 
 @book.add(

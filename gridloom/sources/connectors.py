@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import time as T
 from gridloom.functions.scalar import row_sum
-from gridloom.operators.series import occurrences
+from gridloom.operators.series import occurrences, resolution
 from gridloom.sources import requests as Q
 
 
@@ -105,8 +105,7 @@ CONNECTORS: dict[str, Connector] = {
 
 def label_ends(df: DataFrame) -> DataFrame:
     """Times moved by each code's least step, an hour if it has one row, so that they label the period's end."""
-    step = T.micros(F.col("ts")) - F.lag(T.micros(F.col("ts"))).over(Window.partitionBy("code").orderBy("ts"))
-    least = df.withColumn("_s", step).groupBy("code").agg(F.coalesce(F.min(F.when(F.col("_s") > 0, F.col("_s"))), F.lit(3_600_000_000)).alias("_s"))
+    least = resolution(df, ["code"]).select("code", F.coalesce("resolution", F.lit(3_600_000_000)).alias("_s"))
     return df.join(least, "code").withColumn("ts", F.timestamp_add("MICROSECOND", F.col("_s"), F.col("ts"))).drop("_s")
 
 

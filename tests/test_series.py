@@ -102,3 +102,53 @@ def test_expand_years_covers_local_years(spark):
     out = series.expand_years(df, ["code"], "v", "Europe/Paris")
     assert out.count() == 8760 * 2 + 8784 and out.filter("year = 2024 and v is not null").count() == 0
     assert out.agg(F.min("ts")).first()[0] == datetime(2022, 12, 31, 23)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Irregular times over days without rows, a null entity, rows without a time, missing values, a repeated time."""
+    start = datetime(2024, 3, 1, 22)
+    rows = [(c, start + timedelta(minutes=k * k * m), None if k % 3 == 1 else float(k), k) for c, m in (("a", 7), ("b", 90), (None, 13)) for k in range(40)]
+    return spark.createDataFrame([*rows, ("a", None, None, 40), ("b", start, 5.0, 41), ("c", start, 1.0, 42)], "code string, ts timestamp_ntz, value double, n int").cache()
+
+
+def test_blocks_see_what_an_entity_sees(odd):
+    by = {}
+    for r in odd.filter("ts is not null").collect():
+        by.setdefault(r["code"], []).append(r)
+    steps, filled = {}, {}
+    for rows in by.values():
+        rows.sort(key=lambda r: (r["ts"], r["n"]))
+        for k, r in enumerate(rows):
+            steps[r["n"], r["code"]] = (r["ts"] - rows[k - 1]["ts"]) // timedelta(microseconds=1) if k else None
+            around = [rows[j]["value"] for j in (k - 1, k + 1) if 0 <= j < len(rows)]
+            filled[r["n"], r["code"]] = r["value"] if r["value"] is not None else sum(around) / 2 if len(around) == 2 and None not in around else None
+    single = odd.filter("n <> 41")  # which of two rows of one time comes first is open
+    got = {(r["n"], r["code"]): r for r in series.interpolate(series.steps(odd, ["code"]), ["code"]).collect()}
+    assert len(got) == 123 and got[40, "a"]["step"] is None and got[40, "a"]["value"] is None
+    assert {k: r["step"] for k, r in got.items() if k[0] not in (0, 40, 41)} == {k: v for k, v in steps.items() if k[0] not in (0, 41)}
+    assert {(r["n"], r["code"]): r["value"] for r in series.interpolate(single, ["code"]).collect() if r["n"] not in (0, 1, 40)} == {k: v for k, v in filled.items() if k[0] not in (0, 1, 41)}
+    assert series.interpolate(odd.limit(0), ["code"]).count() == 0 and set(series.interpolate(odd, ["code"]).columns) == set(odd.columns)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_positions(odd, width):
+    got = {(r["code"], r["n"]): r["position"] for r in series.position(odd, ["code"], ["n"], F.floor(F.col("n") / width)).collect()}
+    want = {}
+    for code in ("a", "b", "c", None):
+        for k, n in enumerate(sorted(r["n"] for r in odd.collect() if r["code"] == code)):
+            want[code, n] = k
+    assert got == want
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    values = {"skewed": [3.0] * 500 + [1e9, -1e9, 4.0, 3.5], "one": [2.0], "flat": [1.0] * 7, None: [float(k * k % 101) for k in range(997)]}
+    rows = [(c, v) for c, vs in values.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
+    shares = {"p00": 0.0, "p05": 0.05, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    got = {r["code"]: r for r in series.percentiles(spark.createDataFrame(rows, "code string, v double"), ["code"], "v", shares).collect()}
+    assert set(got) == {*values, "none"} and got["none"]["p50"] is None
+    for code, vs in values.items():
+        for n, q in shares.items():
+            assert got[code][n] == pytest.approx(np.quantile(vs, q)), (code, n)
