@@ -95,9 +95,12 @@ def round_second(ts: Column) -> Column:
 
 
 def date_range(start: Column, end: Column, freq: str) -> Column:
-    """Dates from start to end, both inclusive, as an array. freq: nD; nMS and nYS, starts of months and years; ME, ends of months that are not after end."""
+    """Dates from start to end, both inclusive, as an array. freq: nD; nMS and nYS, starts of months and years; ME, ends of months that are not after
+    end; nh and nmin, times without a zone."""
     n, unit = int("".join(c for c in freq if c.isdigit()) or 1), "".join(c for c in freq if not c.isdigit())
-    if unit == "D":
+    if unit in ("h", "min"):
+        found = F.sequence(start.cast("timestamp_ntz"), end.cast("timestamp_ntz"), F.make_dt_interval(**{"hours" if unit == "h" else "mins": F.lit(n)}))
+    elif unit == "D":
         found = F.sequence(start, end, F.make_dt_interval(days=F.lit(n)))
     elif unit in ("MS", "YS", "ME"):
         first = F.trunc(start, "year" if unit == "YS" else "month")

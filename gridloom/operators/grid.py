@@ -132,6 +132,23 @@ def clip_shapes(shapes: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.select("code", "rings", "west", "south", "east", "north").mapInPandas(cut, schema)
 
 
+#: Code, west, south, east, north of the main land of countries with far islands.
+MAINLANDS = [
+    ("CL", -80.0, -60.0, -60.0, 0.0),
+    ("ES", -10.0, 35.0, 5.0, 45.0),
+    ("FR", -5.0, 40.0, 10.0, 55.0),
+    ("NL", 0.0, 50.0, 10.0, 55.0),
+    ("NO", 0.0, 55.0, 35.0, 73.0),
+    ("NZ", 165.0, -50.0, 180.0, -30.0),
+    ("PT", -10.0, 35.0, 0.0, 45.0),
+]
+
+
+def without_islands(shapes: DataFrame) -> DataFrame:
+    """Shapes of countries with far islands cut to their main land; the others stay."""
+    return clip_shapes(shapes, shapes.sparkSession.createDataFrame(MAINLANDS, "code string, west double, south double, east double, north double"))
+
+
 def dissolve(shapes: DataFrame, by: str) -> DataFrame:
     """One shape for each value of `by`: the rings of all, which do not overlap."""
     return shapes.groupBy(F.col(by).alias("code")).agg(F.flatten(F.collect_list("rings")).alias("rings"))
