@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -54,3 +54,8 @@ def either(a: Column, b: Column) -> Column:
 
 def code(country: Column, subdivision: Column) -> Column:
     return F.concat_ws("_", country, subdivision)
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which a job counts no further than that; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

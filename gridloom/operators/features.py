@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import time as T
-from gridloom.functions.scalar import average_rank
+from gridloom.functions.scalar import average_rank, bounded
 from gridloom.operators import series
 
 
@@ -29,17 +29,17 @@ def mean_over_cells(weather: DataFrame, cells: DataFrame, ks: Sequence[int] = (1
     """code, ts, top1, top3..: means over each code's cells of the largest population, for all k in one pass.
 
     weather: code, ts, y, x, value; cells: code, y, x, rank. pointwise: the k cells; orthogonal: every pairing of their rows and columns,
-    as often as it comes, which is what selecting along both axes gives.
+    as often as it comes, which is what selecting along both axes gives. The cells are counted, and broadcast only if they are few.
     """
     most = max(ks)
     if mode == "pointwise":
-        met = weather.join(F.broadcast(cells.filter(F.col("rank") <= most).select("code", "y", "x", "rank")), ["code", "y", "x"])
+        met = weather.join(bounded(cells.filter(F.col("rank") <= most).select("code", "y", "x", "rank")), ["code", "y", "x"])
         return met.groupBy("code", "ts").agg(*[F.avg(F.when(F.col("rank") <= k, F.col(value))).alias(f"top{k}") for k in ks])
     if mode != "orthogonal":
         raise ValueError("mode is pointwise or orthogonal")
     top = cells.filter(F.col("rank") <= most)
     crossed = top.select("code", "y", F.col("rank").alias("ry")).join(top.select("code", "x", F.col("rank").alias("rx")), "code")
-    met = weather.join(F.broadcast(crossed), ["code", "y", "x"])
+    met = weather.join(bounded(crossed), ["code", "y", "x"])
     return met.groupBy("code", "ts").agg(*[F.avg(F.when((F.col("ry") <= k) & (F.col("rx") <= k), F.col(value))).alias(f"top{k}") for k in ks])
 
 
@@ -56,6 +56,14 @@ def temperature_features(df: DataFrame, keys: Sequence[str], zone: Column | str
     return named.join(months, [*keys, "year", "month"]).join(years, [*keys, "year"])
 
 
+def in_years(df: DataFrame, first: int | None = None, last: int | None = None, year: str = "year") -> DataFrame:
+    """Rows from the first to the last year, both counted; None is no limit. Rows without a year fall with either limit."""
+    for limit, holds in ((first, lambda c: c >= first), (last, lambda c: c <= last)):
+        if limit is not None:
+            df = df.filter(holds(F.col(year)))
+    return df
+
+
 def in_local_year(df: DataFrame, zone: Column | str, year: int, ts: str = "ts") -> DataFrame:
     """Rows from local January 1st to the last instant of local December 31st, as a filter on UTC that reaches the scan."""
     edge = lambda y: T.to_utc(F.make_timestamp_ntz(F.lit(y), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), zone)

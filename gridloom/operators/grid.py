@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.scalar import finite, quarter, wrap_longitude
+from gridloom.functions.scalar import bounded, finite, quarter, wrap_longitude
 
 LABEL = "decimal(7,3)"
 LIMIT = 180.01
@@ -116,7 +116,7 @@ def cell_fractions(shapes: DataFrame, size: float = 0.25) -> DataFrame:
 
 def clip_shapes(shapes: DataFrame, boxes: DataFrame) -> DataFrame:
     """Shapes cut to their box, for those that have one: without far islands. boxes: code, west, south, east, north."""
-    joined = shapes.join(F.broadcast(boxes), "code", "left")
+    joined = shapes.join(bounded(boxes), "code", "left")
     schema = "code string, rings array<array<struct<x:double,y:double>>>"
 
     def cut(batches):

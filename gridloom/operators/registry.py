@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import code as code_of
+from gridloom.functions.scalar import bounded, code as code_of
 from gridloom.functions import time as T
 from gridloom.operators.series import longest
 
@@ -69,7 +69,7 @@ def codes(entities: DataFrame) -> DataFrame:
 def chosen(entities: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The entities of the wanted codes; unknown codes are left out, and none known is an error."""
     asked = entities.sparkSession.createDataFrame([(c,) for c in wanted], "code string")
-    found = entities.join(F.broadcast(asked), "code", "left_semi")
+    found = entities.join(bounded(asked), "code", "left_semi")
     if found.isEmpty():
         raise ValueError(f"no known code among {list(wanted)}")
     return found

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalar import bounded
 from gridloom.operators import coverage, features, forecast, grid, series
 from gridloom.sources import connectors
 
@@ -20,16 +21,16 @@ def temperature_database(weather: DataFrame, population: DataFrame, fractions: D
     """Features of each code's weather (ts, y, x, t2m) in its cells of the largest population: one plan for all codes, both sizes in one pass.
 
     population: y, x, year, value. The nearest population year of each code and weather year is taken; of two the earlier."""
-    zoned = weather.join(F.broadcast(zones), "code")
+    zoned = weather.join(bounded(zones), "code")
     years = zoned.select("code", F.year("ts").alias("year")).distinct()
     known = population.select(F.col("year").alias("available")).distinct()
-    nearest = features.nearest(years, years.select("code").distinct().join(F.broadcast(known)), ["code"])
+    nearest = features.nearest(years, years.select("code").distinct().join(bounded(known)), ["code"])
     cells = grid.largest(population.withColumnRenamed("year", "available"), fractions, 3, keys=["available"]).select("code", "available", "y", "x", "rank")
     picked = cells.join(nearest, ["code", "available"]).select("code", "year", "y", "x", "rank")
     own = weather.withColumn("year", F.year("ts")).withColumn("code", F.concat_ws("|", "code", "year"))
     tops = picked.select(F.concat_ws("|", "code", "year").alias("code"), "y", "x", "rank")
     means = features.mean_over_cells(own, tops, (1, 3), mode).withColumn("code", F.split_part("code", F.lit("|"), F.lit(1)))
-    return features.temperature_features(means.join(F.broadcast(zones), "code"), ["code"], F.col("zone"))
+    return features.temperature_features(means.join(bounded(zones), "code"), ["code"], F.col("zone"))
 
 
 def annual_demand(table: DataFrame, names: dict[str, str], zone: Column | str = "UTC") -> DataFrame:

@@ -29,13 +29,13 @@ def csv(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str =
     return lines.select(F.from_csv("line", schema, {"sep": sep} | options).alias("r")).select("r.*")
 
 
-def json_path(df: DataFrame, text: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """The records of the array at a key path of a JSON document. schema: of a record."""
+def json_path(df: DataFrame, text: str, schema: str, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The records of the array at a key path of a JSON document, after the columns to keep. schema: of a record."""
     nested = f"array<struct<{schema}>>"
     for key in reversed(keys):
         nested = f"struct<`{key}`:{nested}>"
     whole = F.from_json(F.col(text), nested)
-    return df.select(F.explode(whole.getField(keys[0]) if len(keys) == 1 else _descend(whole, keys)).alias("r")).select("r.*")
+    return df.select(*keep, F.explode(whole.getField(keys[0]) if len(keys) == 1 else _descend(whole, keys)).alias("r")).select(*keep, "r.*")
 
 
 def _descend(column: Column, keys: Sequence[str]) -> Column:
@@ -44,6 +44,12 @@ def _descend(column: Column, keys: Sequence[str]) -> Column:
     return column
 
 
+def nested_series(df: DataFrame, text: str, schema: str, keys: Sequence[str], wanted: Column, values: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, position and fields of the elements of the list `values` of those records at a key path that are wanted; empty lists give none."""
+    found = json_path(df, text, schema, keys, keep).filter(wanted)
+    return found.select(*keep, F.posexplode(values).alias("position", "_e")).select(*keep, "position", "_e.*")
+
+
 def parallel_lists(df: DataFrame, text: str, patterns: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """All matches of each pattern's first group, zipped by position: a row for each."""
     found = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias(n) for n, p in patterns.items()]

@@ -4,7 +4,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import registry
+from gridloom.functions.scalar import bounded
+from gridloom.operators import features, registry
+from gridloom.plans import pipelines
 from gridloom.sources import connectors, readers, requests, sinks
 
 
@@ -161,3 +163,21 @@ def test_sink_replaces_only_its_partitions(spark, tmp_path):
     assert got == {"A": 3.0, "B": 2.0} and sinks.manifest(spark, path, ["entity_code"]).count() == 2
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.count() == 1
+
+
+def test_nested_series_to_clean_rows(spark):
+    """Text of a chart of several series, of which one is the demand, to UTC instants."""
+    chart = '{"Chart": {"Series": [{"Name": "Programado", "Data": [{"Nombre": "2024/01/01 00:30", "Valor": 1.0}]}, {"Name": "Ejecutado", "Data": [{"Nombre": "2024/01/01 00:30", "Valor": 7.5}, {"Nombre": "2024/01/01 01:00", "Valor": null}, {"Nombre": "2024/01/01 01:30", "Valor": 8.0}]}]}}'
+    pages = spark.createDataFrame([("PE", chart), ("PE", None), ("PE", '{"Chart": {"Series": []}}'), ("PE", '{"Chart": {"Series": [{"Name": "Ejecutado", "Data": []}]}}')], "code string, text string")
+    landed = readers.nested_series(pages, "text", "Name string, Data array<struct<Nombre string, Valor double>>", ["Chart", "Series"], F.col("Name") == "Ejecutado", "Data", ["code"])
+    got = sorted(tuple(r) for r in pipelines.retrieve(landed, "coes", "position").collect())
+    assert got == [("PE", datetime(2024, 1, 1, 5, 30), 7.5), ("PE", datetime(2024, 1, 1, 6, 30), 8.0)]
+
+
+def test_bounded_and_years(spark):
+    df = spark.createDataFrame([(2019,), (2020,), (2021,), (None,)], "year int")
+    count = lambda *limits: features.in_years(df, *limits).count()
+    assert (count(), count(2020), count(None, 2019), count(2020, 2020), features.in_years(df.limit(0), 2020).count()) == (4, 2, 1, 1, 0)
+    other = spark.range(2000, 2100).withColumnRenamed("id", "year")
+    plan = lambda rows: other.join(bounded(df, rows), "year")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(4) and "strategy=broadcast" not in plan(3)
