@@ -77,6 +77,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(text_images(table(spark, sf_dir, "documents")))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.runs import word_runs
+
+    return word_runs(table(spark, sf_dir, "documents"), alter=True)
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.url_filter import fit, judge, unwanted
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, fit(unwanted(pages)))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -88,7 +107,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_media": op10_media,
+    "op11_resample": op11_resample,
+    "op12_runs": op12_runs,
+    "op13_urls": op13_urls,
 }
 
-#: None of the ten is expressible in SQL at this scale; tests/llm holds each against brute force, a round trip or held-out rows.
+#: None of them is expressible in SQL at this scale; tests/llm holds each against brute force, a round trip or held-out rows.
 SQL: dict[str, str] = {}
