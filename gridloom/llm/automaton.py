@@ -10,6 +10,8 @@ from dataclasses import dataclass
 import numpy as np
 
 Node = tuple
+#: Rules of one automaton: a scan holds a bit for each in a byte.
+MOST_RULES = 8
 
 
 def parse(rule: str) -> Node:
@@ -110,11 +112,14 @@ def reversed_tree(node: Node) -> Node:
     return node if node[0] == "set" else ("rep", reversed_tree(node[1]), *node[2:])
 
 
-def compile_rules(rules: list[str], ceiling: int = 60_000, backwards: bool = False) -> Automaton:
-    """The minimal automaton that reports, at each byte, which rules have a match that ends there.
+def compile_rules(rules: list[str], ceiling: int = 60_000, backwards: bool = False, anchored: bool = False) -> Automaton:
+    """The minimal automaton that reports, at each byte, which rules have a match that ends there. anchored: that begins at the first byte.
 
-    backwards: instead, the rules read backwards, from the first byte on only: it reports where a match that ends at the first byte begins.
+    backwards: the rules read backwards, anchored: it reports where a match that ends at the first byte begins.
     """
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"a scan reports at most {MOST_RULES} rules")
+    anchored = anchored or backwards
     moves: list[list[tuple[int, int]]] = []
     empty: list[list[int]] = []
 
@@ -186,7 +191,7 @@ def compile_rules(rules: list[str], ceiling: int = 60_000, backwards: bool = Fal
         row = []
         for b in sample:
             target = {t for s in subset for bits, t in moves[s] if bits >> b & 1}
-            nxt = closure(target) if backwards else closure(target) | start
+            nxt = closure(target) if anchored else closure(target) | start
             if nxt not in number:
                 number[nxt] = len(number)
                 queue.append(nxt)
@@ -305,11 +310,11 @@ def scan(auto: Automaton, texts: list[bytes], chunk: int = 1024) -> Hits:
     return Hits(buf, edge, found)
 
 
-class Backwards:
-    """The beginnings of a rule's matches, by the automaton of the rule read backwards."""
+class Anchored:
+    """The ends of a rule's matches that begin at a place, or the beginnings of those that end there, byte by byte."""
 
-    def __init__(self, rule: str) -> None:
-        auto = compile_rules([rule], backwards=True)
+    def __init__(self, rule: str, backwards: bool = False) -> None:
+        auto = compile_rules([rule], backwards=backwards, anchored=True)
         table = auto.step.reshape(auto.states, auto.classes).astype(np.int64)
         own = np.arange(auto.states)
         dead = np.flatnonzero((table == own[:, None]).all(1) & (auto.accepts == 0))
@@ -327,3 +332,14 @@ class Backwards:
             if self.accepts[state]:
                 best = p
         return best
+
+    def last(self, data: bytes, start: int, end: int) -> int:
+        """The rightmost place, up to `end`, where a match that begins at `start` ends; -1 if there is none."""
+        state, best = 0, -1
+        for p in range(start, end):
+            state = self.rows[state][data[p]]
+            if state == self.dead:
+                break
+            if self.accepts[state]:
+                best = p + 1
+        return best

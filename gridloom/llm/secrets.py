@@ -3,7 +3,8 @@
 All rules are compiled by subset construction and minimised into one table of transitions; each text's bytes are read once, and the
 automaton tells at each byte which rules have a match that ends there. Every rule ends in a run of characters of one class, or in one place,
 so a match's end is the end of a run of such bytes, and the run's length the number of those characters. The match's beginning is found
-backwards from there, by the automaton of its rule reversed. Spans are leftmost and not overlapping within a kind, in code points.
+backwards from there, by the automaton of its rule reversed. A key word may stand inside an earlier match and begin a run that the next
+match only ends, so the value of an assignment is measured from the match that is reported, by the automaton of the rule's head. Spans are leftmost and not overlapping within a kind, in code points.
 
 Nulls: a null text is empty and has no span; a null doc_id is kept. Very long texts are scanned whole, in pieces abreast. Repeated rows each
 get their result. An empty table gives an empty result. Other columns pass by unread in `find`, and are kept by `redact`.
@@ -17,15 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.automaton import Automaton, Backwards, compile_rules, scan
+from gridloom.llm.automaton import Anchored, Automaton, compile_rules, scan
 from gridloom.llm.shared import map_rows, map_texts
 
 #: The kinds, in order; the rule of each, on bytes; the characters that the last run of a match must have; whether a match
 #: with fewer still takes its place, so that no other of the kind begins in it. (A run of hex begins at the match's sixth character: 24 in all.)
+ASSIGNED = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "jwt", "live_key")
 BASE = 3
 RULES = (
-    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""",
+    ASSIGNED + r"[A-Za-z0-9+/_.=\-]+",
     r"AKIA[A-Z0-9]+",
     r"[0-9a-f]{6,}",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
@@ -36,6 +38,8 @@ RULES = (
 )
 LEAST = (6, 16, 19, 1, 36, 10, 1, 16)
 TAKES = (True, False, False, False, False, False, False, False)
+#: By kind: what comes before the last run in the rule, where the run must be measured from the match.
+HEADS = {0: ASSIGNED}
 
 
 @lru_cache(1)
@@ -44,8 +48,13 @@ def automaton() -> Automaton:
 
 
 @lru_cache(1)
-def _backwards() -> list[Backwards]:
-    return [Backwards(rule) for rule in RULES]
+def _backwards() -> list[Anchored]:
+    return [Anchored(rule, backwards=True) for rule in RULES]
+
+
+@lru_cache(1)
+def _heads() -> dict[int, Anchored]:
+    return {k: Anchored(head) for k, head in HEADS.items()}
 
 
 def spans_of(auto: Automaton, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
@@ -54,6 +63,7 @@ def spans_of(auto: Automaton, texts: list[str | None]) -> list[list[tuple[int, i
     hits = scan(auto, data)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, back in enumerate(_backwards()):
+        head = _heads().get(k)
         first, end = hits.runs(k)
         if not TAKES[k]:
             long = end - first >= LEAST[k]
@@ -66,7 +76,7 @@ def spans_of(auto: Automaton, texts: list[str | None]) -> list[list[tuple[int, i
             start = back.first(data[i], b, floor)
             if start >= 0:
                 floor = b
-                if b - a >= LEAST[k]:
+                if b - (head.last(data[i], start, b) if head else a) >= LEAST[k]:
                     out[i].append((start, k, b))
     for i, own in enumerate(out):
         if own and len(data[i]) != len(texts[i]):  # bytes to code points

@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 
 from gridloom.llm import secrets
 from gridloom.llm.automaton import compile_rules, scan
@@ -71,6 +72,34 @@ def test_every_kind_equals_its_pattern():
     assert {k for own in found for _, k, _ in own} == set(range(8))
 
 
+DENSE = ["token=", "secret=", "password:", "passwd", "api_key", "apikey: ", "=", ":", "token", "x", "hunter2", "deadbeef", "a", " ", '"', "'", "a" * 6, "==", "='", "%"]
+
+
+def test_key_words_inside_values():
+    """A key word may stand inside an earlier match and begin the run that the next match ends."""
+    texts = ["token=xpassword:deadbeeftoken=x", "secret=token:hunter2token=a", "token==abcdefsecret:api_key=12345"]
+    r = random.Random(7)
+    texts += ["".join(r.choices(DENSE, k=10)) for _ in range(20_000)]
+    auto = secrets.automaton()
+    for i in range(0, len(texts), 500):
+        assert secrets.spans_of(auto, texts[i : i + 500]) == [every_kind(t) for t in texts[i : i + 500]]
+    assert [secrets.spans_of(auto, [t])[0] for t in texts[:2]] == [[(0, 0, 15)], []]
+
+
+def test_redaction_cuts_spans_only(docs_of):
+    r = random.Random(8)
+    texts = ["".join(r.choices(DENSE, k=10)) for _ in range(500)]
+    got = [x["text"] for x in secrets.redact(docs_of([(t, "en") for t in texts])).orderBy("doc_id").collect()]
+    for t, g in zip(texts, got):
+        inside = {i for s, _, e in every_kind(t) for i in range(s, e)}
+        assert "".join(c for i, c in enumerate(t) if i not in inside) == g.replace("[secret]", "")
+
+
+def test_too_many_rules_are_an_error():
+    with pytest.raises(ValueError):
+        compile_rules([chr(97 + k) for k in range(9)])
+
+
 def test_long_texts_without_a_place_to_cut():
     """Texts in which no byte leads back to the start are cut anywhere; a million bytes take well under a few seconds."""
     r = random.Random(3)
@@ -89,6 +118,8 @@ def test_redaction(docs_of):
 
 
 def test_odd_rows(odd_docs, no_docs):
-    assert secrets.digest(odd_docs).count() == odd_docs.count()
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["spans"], x["base_sha256"]) for x in secrets.digest(odd_docs).collect())
+    texts = [(x["doc_id"], x["text"] or "") for x in odd_docs.collect()]
+    assert got == sorted((i is None, i or 0, ",".join(brute(t)), hashlib.sha256(",".join(brute(t)).encode()).hexdigest()) for i, t in texts)
     assert sorted(map(str, secrets.redact(odd_docs).collect())) == sorted(map(str, odd_docs.collect()))
     assert secrets.digest(no_docs).collect() == [] and secrets.redact(no_docs).collect() == []
