@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import bounded, finite, quarter, wrap_longitude
+from gridloom.operators.overlay import cell_of, cut_at_lines, edges
 
 LABEL = "decimal(7,3)"
 LIMIT = 180.01
@@ -90,28 +91,23 @@ def area(ring: np.ndarray) -> float:
 def cell_fractions(shapes: DataFrame, size: float = 0.25) -> DataFrame:
     """code, y, x, fraction: each cell's area within the shape, over that of the fullest cell. Rings: counter-clockwise shells, clockwise holes.
 
-    Cells that a shape's box covers are listed first and dealt to tasks, so a large shape is many rows."""
-    points = shapes.select("code", "rings", F.explode(F.flatten("rings")).alias("p"))
-    boxes = points.groupBy("code").agg(*[f(f"p.{c}").alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    cell = lambda c: F.sequence(F.floor(F.col(f"lo{c}") / size + 0.5).cast("long"), F.ceil(F.col(f"hi{c}") / size - 0.5).cast("long"))
-    cells = boxes.select("code", F.explode(cell("y")).alias("iy"), cell("x").alias("ix"))  # a row of cells at once: its shape is parsed once
-    rows = cells.join(shapes.select("code", "rings"), "code")
-
-    def covered(batches):
-        for pdf in batches:
-            out = []
-            for code, iy, ix, rings in zip(pdf["code"], pdf["iy"], pdf["ix"], pdf["rings"]):
-                own = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in rings]
-                strip = [clip(r, -1e9, (iy - 0.5) * size, 1e9, (iy + 0.5) * size) for r in own]
-                for i in ix:
-                    a = sum(area(clip(r, (i - 0.5) * size, -1e9, (i + 0.5) * size, 1e9)) for r in strip if len(r))
-                    if a > 1e-12:
-                        out.append((code, iy * size, i * size, a))
-            yield pd.DataFrame(out, columns=["code", "y", "x", "a"])
-
-    found = rows.mapInPandas(covered, "code string, y double, x double, a double")
-    share = finite(F.col("a") / F.max("a").over(Window.partitionBy("code")))
-    return found.select("code", F.col("y").cast(LABEL).alias("y"), F.col("x").cast(LABEL).alias("x"), share.alias("fraction"))
+    Areas are added up by signed edges: cut at the cells' lines, each piece gives its cell the area between it and the cell's western line, and
+    every cell to the west of it in its row the whole width. A running sum along the row gives both, and the cells between two that
+    hold edges; the window's group is one row of one shape's cells. All of it is DataFrame expressions."""
+    pieces = cut_at_lines(edges(shapes, ["code"]), size, 0.5).withColumns({"_ix": cell_of("x", size, 0.5) + 1, "_iy": cell_of("y", size, 0.5) + 1})
+    rise = F.col("m") * (F.col("y2") - F.col("y1"))
+    own = rise * ((F.col("x1") + F.col("x2")) / 2 - (F.col("_ix") - 0.5) * size)
+    sums = pieces.groupBy("code", "_iy", "_ix").agg(F.sum(own).alias("_own"), (F.sum(rise) * size).alias("_all"))
+    row = Window.partitionBy("code", "_iy").orderBy(F.desc("_ix"))
+    east = F.sum("_all").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    lined = sums.select("code", "_iy", "_ix", (F.col("_own") + east - F.col("_all")).alias("_a"), east.alias("_east"), F.lead("_ix").over(row).alias("_next"))
+    least = 1e-9 * size * size
+    gap = F.when((F.col("_east") > least) & (F.col("_ix") - F.col("_next") > 1), F.sequence(F.col("_next") + 1, F.col("_ix") - 1)).otherwise(F.array().cast("array<bigint>"))
+    cells = F.concat(F.array(F.struct(F.col("_ix").alias("ix"), F.col("_a").alias("a"))), F.transform(gap, lambda i: F.struct(i.alias("ix"), F.col("_east").alias("a"))))
+    found = lined.select("code", "_iy", F.explode(cells).alias("c")).select("code", "_iy", "c.ix", "c.a").filter(F.col("a") > least)
+    most = found.groupBy("code").agg(F.max("a").alias("_most"))
+    share = finite(F.col("a") / F.col("_most"))
+    return found.join(most, "code").select("code", (F.col("_iy") * size).cast(LABEL).alias("y"), (F.col("ix") * size).cast(LABEL).alias("x"), share.alias("fraction"))
 
 
 def clip_shapes(shapes: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import grid_queries, relational_queries, series_queries
+from gridloom.plans import grid_queries, overlay_queries, relational_queries, series_queries
 from gridloom.plans.base import Query
 
-BOOKS = (series_queries.book, relational_queries.book, grid_queries.book)
+BOOKS = (series_queries.book, relational_queries.book, grid_queries.book, overlay_queries.book)
 
 
 def queries() -> dict[str, Query]:

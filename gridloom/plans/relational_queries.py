@@ -335,9 +335,11 @@ def time_formats(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", *parsed)
 
 
-@book.add("SELECT year::BIGINT AS year, dayofyear(make_date(year, 12, 31))::BIGINT AS days FROM generate_series(1890, 2110) AS g(year)")
+@book.add("SELECT DISTINCT year, dayofyear(make_date(year, 12, 31))::BIGINT AS days FROM (SELECT year(o_orderdate) - o_custkey % 110 AS year FROM orders)")
 def leap_years(t: Tables) -> DataFrame:
-    return t._spark.range(1890, 2111).select(F.col("id").alias("year"), T.days_in_year(F.col("id").cast("int")).cast("long").alias("days"))
+    """Years of orders, and of up to 109 years before, with their days."""
+    years = t.orders.select((F.year("o_orderdate") - F.col("o_custkey") % 110).alias("year")).distinct()
+    return years.select("year", T.days_in_year(F.col("year").cast("int")).cast("long").alias("days"))
 
 
 @book.add("WITH n AS (SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages) SELECT page_id, host, regexp_extract(host, '([^.]+)[.]', 1) AS first, host LIKE '%.org' AS org, upper(substr(host, 1, 3)) AS head FROM n")
