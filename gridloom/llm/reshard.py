@@ -123,14 +123,15 @@ def reshard(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "s
     flow, _ = plan(blocks, shards)
     total = sum(b[2] for b in blocks)
     place = {(b[0], b[1]): (np.cumsum([0, *own.values()]), np.array(list(own), np.int64)) for b, own in zip(blocks, flow)}
-    numbered = ranked(kept, [old, "_class"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32"], total)
+    salt = key or ["doc_id", "text_crc32"]  # the row's own key, as any number of rows may have no id and equal texts
+    numbered = ranked(kept, [old, "_class"], salt, ["doc_id", "text_crc32", *key], total)
 
     def assign(cols: dict[str, list]) -> dict[str, object]:
         shard = [int(place[o, c][1][np.searchsorted(place[o, c][0], r, side="right") - 1]) for o, c, r in zip(cols[old], cols["_class"], cols["rank"])]
         return {n: cols[n] for n in ("doc_id", size, "text_crc32", old, *key)} | {"shard": shard}
 
     given = map_rows(numbered, f"doc_id long, {size} long, text_crc32 long, {old} int, " + "".join(f"{k} string, " for k in key) + "shard int", assign)
-    return ranked(given, ["shard"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32"], total, "slot")
+    return ranked(given, ["shard"], salt, ["doc_id", "text_crc32", *key], total, "slot")
 
 
 def sized(docs: DataFrame, old_shards: int) -> DataFrame:
