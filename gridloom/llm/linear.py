@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import Words, fold, hash_sample, map_rows, mix
+from gridloom.llm.shared import Words, discard, fold, hash_sample, map_rows, mix, stored
 
 #: Bits of a feature's index.
 WIDTH = 20
@@ -32,7 +32,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = hash_sample(known, "doc_id", "y", rows).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # of several texts of an id the least, so that every run learns from the same
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 @dataclass
@@ -86,15 +87,44 @@ def score(docs: DataFrame, model: Linear, features: Features, threshold: float)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def featured(rows: DataFrame, features: Features, keyed: bool = False) -> list:
-    """The sample's features on the driver: rows of y, [doc_id,] index, value, by a hash of doc_id. Its size is bounded by the sample's."""
+class Sample:
+    """The labelled sample's features, in a table, read row by row as often as a fit asks: the driver holds one partition's rows at a time.
 
-    def run(cols: dict[str, list]) -> dict[str, object]:
-        found = features(cols["text"])
-        return {"y": cols["y"], "id": cols["doc_id"], "index": [i.astype("<u4").tobytes() for i, _ in found], "value": [v.astype("<f4").tobytes() for _, v in found]}
+    Iteration gives (y, indices, values, twin), in order of a hash of the id; twin: the (indices, values) of the row's second text, or None."""
 
-    got = map_rows(rows.select("doc_id", "text", "y"), "y int, id long, index binary, value binary", run).collect()
-    return [(r["y"], *[r["id"]] * keyed, np.frombuffer(r["index"], "<u4").astype(np.int32), np.frombuffer(r["value"], "<f4")) for r in sorted(got, key=lambda r: (int(mix(np.array([r["id"]], np.int64).view(np.uint64))[0]), r["id"]))]
+    def __init__(self, rows: DataFrame, features: Features) -> None:
+        """rows: doc_id, text, y and, if rows have a second text, twin."""
+        second = "twin" in rows.columns
+
+        def run(cols: dict[str, list]) -> dict[str, object]:
+            n = len(cols["text"])
+            found = features([*cols["text"], *(cols["twin"] if second else [])])
+            packed = [(i.astype("<u4").tobytes(), v.astype("<f4").tobytes()) for i, v in found]
+            other = [(p if t is not None else (None, None)) for p, t in zip(packed[n:], cols["twin"])] if second else [(None, None)] * n
+            hashes = mix(np.array(cols["doc_id"], np.int64).view(np.uint64)).view(np.int64).tolist()
+            return {"h": hashes, "id": cols["doc_id"], "y": cols["y"], "index": [p[0] for p in packed[:n]], "value": [p[1] for p in packed[:n]], "index2": [o[0] for o in other], "value2": [o[1] for o in other]}
+
+        schema = "h long, id long, y int, index binary, value binary, index2 binary, value2 binary"
+        self.table = stored(map_rows(rows.select("doc_id", "text", "y", *["twin"] * second), schema, run), "sample")
+        number = {r["y"]: r["count"] for r in self.table.groupBy("y").count().collect()}
+        self.size, self.ones = sum(number.values()), number.get(1, 0)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self):
+        read = lambda i, v: (np.frombuffer(i, "<u4").astype(np.int32), np.frombuffer(v, "<f4"))
+        for r in self.table.orderBy("h", "id").toLocalIterator():
+            yield r["y"], *read(r["index"], r["value"]), read(r["index2"], r["value2"]) if r["index2"] is not None else None
+
+    def close(self) -> None:
+        discard(self.table)
+
+
+def weights_of(rows) -> list[float]:
+    """Weights of the labels 0 and 1 with which both weigh alike in sum. rows: a Sample, or a list."""
+    ones = rows.ones if isinstance(rows, Sample) else sum(r[0] for r in rows)
+    return [len(rows) / (2 * max(1, len(rows) - ones)), len(rows) / (2 * max(1, ones))]
 
 
 class Tokens(Words):

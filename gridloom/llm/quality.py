@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gridloom.llm.linear import WIDTH, Ftrl, Linear, Tokens, distinct_features, featured, sample, score, sigmoid
+from gridloom.llm.linear import WIDTH, Ftrl, Linear, Sample, Tokens, distinct_features, sample, score, sigmoid, weights_of
 from gridloom.llm.shared import mix, ngrams
 
 #: Labelled rows of each value that the model is fitted on at most.
@@ -34,12 +34,11 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(rows: list, epochs: int = EPOCHS) -> Linear:
-    """rows: (y, indices, values); the classes weigh alike in sum."""
+    """rows: (y, indices, values, ...), read once an epoch; the classes weigh alike in sum."""
     learner = Ftrl(1 << WIDTH, alpha=0.5, l1=0.5, l2=0.1)
-    ones = sum(y for y, _, _ in rows)
-    weight = [len(rows) / (2 * max(1, len(rows) - ones)), len(rows) / (2 * max(1, ones))]
+    weight = weights_of(rows)
     for _ in range(epochs):
-        for y, index, value in rows:
+        for y, index, value, *_ in rows:
             at, v = np.append(index, 1 << WIDTH), np.append(value, 1.0)
             w = learner.weights(at)
             w[-1] = learner.model_bias()
@@ -49,4 +48,7 @@ def fit(rows: list, epochs: int = EPOCHS) -> Linear:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (score >= 0.3)."""
-    return score(docs, fit(featured(sample(docs, labels, "quality", SAMPLE), features)), features, 0.3)
+    rows = Sample(sample(docs, labels, "quality", SAMPLE), features)
+    model = fit(rows)
+    rows.close()
+    return score(docs, model, features, 0.3)

@@ -16,7 +16,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gridloom.llm.linear import WIDTH, Ftrl, Linear, distinct_features, featured, sample, score, sigmoid
+from gridloom.llm.linear import WIDTH, Ftrl, Linear, Sample, distinct_features, sample, score, sigmoid, weights_of
 from gridloom.llm.shared import Words, map_rows, mix
 
 SAMPLE = 4000
@@ -57,20 +57,19 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(i, np.ones(len(i))) for i, _ in distinct_features(np.concatenate(hashes), np.concatenate(docs), len(texts))]
 
 
-def fit(rows: list, twins: dict[int, tuple], epochs: int = EPOCHS, penalty: float = PENALTY) -> Linear:
-    """rows: (y, indices, values); twins: of the rows with identity terms, by place, the swapped text's (indices, values)."""
+def fit(rows, epochs: int = EPOCHS, penalty: float = PENALTY) -> Linear:
+    """rows: (y, indices, values, twin), read once an epoch; twin: the (indices, values) of the swapped text, or None without identity terms."""
     learner = Ftrl(1 << WIDTH, alpha=0.1, l1=4.0, l2=1.0)
-    ones = sum(y for y, _, _ in rows)
-    weight = [len(rows) / (2 * max(1, len(rows) - ones)), len(rows) / (2 * max(1, ones))]
+    weight = weights_of(rows)
     for _ in range(epochs):
-        for k, (y, index, value) in enumerate(rows):
+        for y, index, value, twin in rows:
             at, v = np.append(index, 1 << WIDTH), np.append(value, 1.0)
             w = learner.weights(at)
             w[-1] = learner.model_bias()
             logit = float(w @ v)
             learner.update(at, (sigmoid(logit) - y) * weight[y] * v)
-            if k in twins and penalty:
-                other, values = twins[k]
+            if twin is not None and penalty:
+                other, values = twin
                 both = np.union1d(index, other)
                 x = np.zeros(len(both))
                 x[np.searchsorted(both, index)] += value
@@ -90,21 +89,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         texts = [t or "" for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "y": cols["y"], "text": texts, "twin": [swapped(t) for t in texts]}
 
-    chosen = map_rows(sample(docs, labels, "toxic", SAMPLE).select("doc_id", "text", "y"), "doc_id long, y int, text string, twin string", pair)
-    return score(docs, _fitted(chosen), features, 0.5)
-
-
-def _fitted(chosen: DataFrame) -> Linear:
-    from pyspark.sql import functions as F
-
-    both = chosen.select("doc_id", "text", "y").union(chosen.filter("twin is not null").select("doc_id", F.col("twin"), F.col("y") + 2))
-    rows, twins, place = [], {}, {}
-    got = featured(both, features, True)
-    for y, key, index, value in got:
-        if y < 2:
-            place[key] = len(rows)
-            rows.append((y, index, value))
-    for y, key, index, value in got:
-        if y >= 2:
-            twins[place[key]] = (index, value)
-    return fit(rows, twins)
+    rows = Sample(map_rows(sample(docs, labels, "toxic", SAMPLE).select("doc_id", "text", "y"), "doc_id long, y int, text string, twin string", pair), features)
+    model = fit(rows)
+    rows.close()
+    return score(docs, model, features, 0.5)

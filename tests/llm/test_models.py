@@ -206,11 +206,10 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     order = r.permutation(len(texts))
     found = toxicity.features(texts)
     twin = toxicity.features([toxicity.swapped(t) or "" for t in texts])
-    rows = [(int(k < len(toxic)), *found[k]) for k in order]
-    twins = {p: twin[k] for p, k in enumerate(order) if toxicity.swapped(texts[k])}
+    rows = [(int(k < len(toxic)), *found[k], twin[k] if toxicity.swapped(texts[k]) else None) for k in order]
     gap = {}
     for penalty in (0.0, 2.0):
-        model = toxicity.fit(rows, twins, epochs=10, penalty=penalty)
+        model = toxicity.fit(rows, epochs=10, penalty=penalty)
         a, b = toxicity.features(["the muslim walks", "the christian walks"])
         gap[penalty] = abs(model.logit(*a) - model.logit(*b))
         bad, good = (linear.sigmoid(model.logit(*x)) for x in toxicity.features(["you idiot man", "the man walks"]))
@@ -294,15 +293,33 @@ def test_counterfactuals_close_the_gap(tables):
     docs, labels = tables
     rows = docs.join(labels, "doc_id").filter("toxic is not null").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
     train, rest = [r for r in rows if not held(r["doc_id"])], [r for r in rows if held(r["doc_id"])]
-    own = [(r["toxic"], *f) for r, f in zip(train, toxicity.features([r["text"] for r in train]))]
-    twins = {k: toxicity.features([t])[0] for k, r in enumerate(train) if (t := toxicity.swapped(r["text"]))}
+    twins = [toxicity.features([t])[0] if (t := toxicity.swapped(r["text"])) else None for r in train]
+    own = [(r["toxic"], *f, t) for r, f, t in zip(train, toxicity.features([r["text"] for r in train]), twins)]
     pairs = [(r["text"], t) for r in rest if (t := toxicity.swapped(r["text"]))]
-    assert len(twins) > 20 and len(pairs) > 5
+    assert sum(t is not None for t in twins) > 20 and len(pairs) > 5
     gap, wrong = {}, {}
     for penalty in (0.0, toxicity.PENALTY):
-        model = toxicity.fit(own, twins, penalty=penalty)
+        model = toxicity.fit(own, penalty=penalty)
         logits = [[model.logit(*toxicity.features([t])[0]) for t in p] for p in pairs]
         gap[penalty] = np.mean([abs(a - b) for a, b in logits])
         clean = [r["text"] for r in rest if r["toxic"] == 0 and toxicity.swapped(r["text"])]
         wrong[penalty] = np.mean([model.logit(*toxicity.features([t])[0]) >= 0 for t in clean])
     assert gap[toxicity.PENALTY] <= gap[0.0] and wrong[toxicity.PENALTY] <= wrong[0.0] and gap[toxicity.PENALTY] < 0.2
+
+
+def test_samples_are_read_in_one_order(spark, prose):
+    """Features by row from a table, as from a list; of several texts of an id the least counts."""
+    texts = prose(40)
+    docs = spark.createDataFrame([(i % 30, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    chosen = linear.sample(docs, labels, "quality", 100)
+    least = {i: min(texts[i::30]) for i in range(30)}
+    assert {r["doc_id"]: r["text"] for r in chosen.collect()} == {i: t for i, t in least.items() if not held(i)}
+    twin = F.when(F.col("doc_id") < 9, F.lit("another text"))
+    rows = linear.Sample(chosen.withColumn("twin", twin), quality.features)
+    first, again = list(rows), list(rows)
+    assert len(first) == len(rows) == sum(not held(i) for i in range(30)) and rows.ones == sum(r[0] for r in first)
+    assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(first, again))
+    known = {(i % 2, *f[0].tolist()) for i, t in least.items() for f in quality.features([t])}
+    assert all((r[0], *r[1].tolist()) in known for r in first) and sum(r[3] is not None for r in first) == sum(not held(i) for i in range(9))
+    rows.close()
