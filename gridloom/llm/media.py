@@ -15,10 +15,13 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridloom.llm.shared import map_rows
+from gridloom.llm.shared import map_rows, stored
 
 BLOCK, WIDTH = 576, 24
+#: Samples that an integral image is summed up for at once.
+STRIP = 1 << 18
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -104,16 +107,35 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means of the areas that the new samples cover, with fractional edges, read off the integral image; float64."""
     h, w = pixels.shape
-    whole = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=whole[1:, 1:])
 
-    def along(table: np.ndarray, n: int, size: int) -> np.ndarray:
+    def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.linspace(0, size, n + 1)
         low = np.minimum(edge.astype(np.int64), size - 1)
-        share = (edge - low)[:, None]
-        return np.diff(table[low] * (1 - share) + table[low + 1] * share, axis=0)
+        return low, (edge - low)[:, None]
 
-    return along(along(whole, height, h).T, width, w).T / ((h / height) * (w / width))
+    def between(below: np.ndarray, above: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return np.diff(below * (1 - share) + above * share, axis=0)
+
+    low, share = edges(height, h)
+    lines = _integral_lines(pixels, np.unique(np.concatenate([low, low + 1])))
+    tall = between(np.array([lines[i] for i in low.tolist()]), np.array([lines[i] for i in (low + 1).tolist()]), share).T
+    low, share = edges(width, w)
+    return between(tall[low], tall[low + 1], share).T / ((h / height) * (w / width))
+
+
+def _integral_lines(pixels: np.ndarray, wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """The wanted lines of the integral image, which is summed up in strips, so that a tall image takes no more memory than its samples."""
+    h, w = pixels.shape
+    lines, carry = {0: np.zeros(w + 1)}, np.zeros(w + 1)
+    strip = max(1, STRIP // w)
+    for top in range(0, h, strip):
+        end = min(top + strip, h)
+        own = np.zeros((end - top, w + 1))
+        np.cumsum(np.cumsum(pixels[top:end], 0, dtype=np.float64), 1, out=own[:, 1:])
+        own += carry
+        lines |= {int(i): own[i - top - 1].copy() for i in wanted[(wanted > top) & (wanted <= end)].tolist()}
+        carry = own[-1]
+    return lines
 
 
 def difference_hash(pixels: np.ndarray) -> str:
@@ -167,20 +189,25 @@ def text_images(docs: DataFrame, form: str = "pgm") -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n_bytes long, media binary", run)
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """What text_images stored, read back: digests, sizes and the feature: difference hash, and the crc32 of the NPY tiles of the resized image."""
+def features(docs: DataFrame, form: str = "pgm") -> DataFrame:
+    """The texts' images written to the shared folder, read back, and cut to NPY tiles, which are written and read back in their turn.
+
+    One row per document: digests and sizes of what was read, and the feature: the difference hash, and the crc32 of the tiles of the image
+    resized to 16 x 16. Both tables stay there for the result, which reads the second."""
 
     def run(rows: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tiles")}
         for doc, n, media in zip(rows["doc_id"], rows["n_bytes"], rows["media"]):
             pixels = decode(media)
             back = pixels.tobytes()
-            crc = 0
-            for _, _, npy in tiles(np.round(resize(pixels, 16, 16)).astype(np.uint8), 8):
-                crc = zlib.crc32(npy, crc)
-            values = (doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels)}-{crc:08x}")
+            cut = [npy for _, _, npy in tiles(np.round(resize(pixels, 16, 16)).astype(np.uint8), 8)]
+            values = (doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels), cut)
             for k, v in zip(out, values):
                 out[k].append(v)
         return out
 
-    return map_rows(stored.select("doc_id", "n_bytes", "media"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", run)
+    media = stored(text_images(docs, form), "media")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tiles array<binary>"
+    made = stored(map_rows(media.select("doc_id", "n_bytes", "media"), schema, run), "tiles")
+    sums = F.crc32(F.concat(*[F.col("tiles")[k] for k in range(4)]))
+    return made.select(*[c for c in made.columns if c not in ("dhash", "tiles")], F.concat_ws("-", "dhash", F.lpad(F.lower(F.hex(sums)), 8, "0")).alias("feature"))

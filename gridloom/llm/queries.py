@@ -72,9 +72,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.llm.media import features, text_images
+    from gridloom.llm.media import features
 
-    return features(text_images(table(spark, sf_dir, "documents")))
+    return features(table(spark, sf_dir, "documents"))
 
 
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
