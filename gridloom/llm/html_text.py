@@ -29,7 +29,7 @@ from gridloom.llm.shared import hash_sample, map_rows
 #: Labelled pages that the scores are learned from at most.
 SAMPLE = 400
 #: Scores used without labelled pages, and of what they do not hold: of a word, a tag, and an element that its markup drops.
-DEFAULT = {"word": 1.0, "tag": -0.5, "drop": -3.0}
+DEFAULT = {"word": 1.0, "link": -0.3, "tag": -0.5, "drop": -3.0}
 LEAST_COST = -0.05
 
 #: Fixed values of HTML: elements that end a block of text; elements without an end tag; elements whose content is no text.
@@ -40,14 +40,18 @@ RAW = "script|style|noscript|template|textarea|select|svg|iframe|title|object|ca
 DROPPED = frozenset("nav footer aside form button menu dialog head header".split())
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert banner popup modal overlay newsletter subscribe subscription signup sidebar rail widget "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer toolbar comment comments disqus respond reply replies discussion share sharing social related recommended pagination pager login search complementary contentinfo".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs footer toolbar comment comments disqus respond reply replies discussion share sharing social related recommended pagination pager login review reviews testimonial testimonials search complementary contentinfo".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar".split())
 KNOWN = BLOCKS | VOID | frozenset("a abbr b body button cite code del em head html i ins kbd label mark q s samp small span strong sub sup td th time title tr u var video audio".split())
 HOLDERS = frozenset("html body main article".split())
 #: Marked elements that no number of words keeps: by tag, and by name.
 NEVER = frozenset("nav footer aside menu dialog button".split())
-NEVER_NAMES = frozenset("comment comments disqus respond reply replies discussion nav navbar navigation footer menu".split())
+NEVER_NAMES = frozenset("comment comments reviews testimonials disqus respond reply replies discussion nav navbar navigation footer menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags of a text's own form, which cost little where nothing else is learned: lists, tables, letters. Elements that hold a line of text.
+LIGHT = frozenset("li ul ol dl dt dd table thead tbody tfoot tr td th caption p br b i em strong span sub sup code pre blockquote u s q cite small mark abbr figure figcaption".split()) | HEADINGS
+LINES = HEADINGS | frozenset("p li td th dt dd span em strong b i q cite code blockquote figcaption".split())
 NEUTRAL = frozenset("with without has no is not show".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
@@ -75,10 +79,12 @@ def _names(tag: str) -> list[list[str]]:
 def _mark(tag: str, token: str, inside: bool) -> str:
     """'' or, of an element marked as no content, 'weak' if what it holds may keep it, else 'strong'."""
     names = _names(token)
+    if inside and tag in LINES:  # a line of the article: `notice-board` may be its subject, `board-notice` is no part of it
+        names = [p[-1:] for p in names]
     named = any(NAMES.intersection(p) or (not inside and OUTER_NAMES.intersection(p)) for p in names)
     if not named and not (tag in DROPPED and not (tag == "header" and inside)):
         return ""
-    return "strong" if tag in NEVER or any(len(p) == 1 and p[0] in NEVER_NAMES or p[-1] in ("comments", "respond", "footer", "nav", "menu") for p in names) else "weak"
+    return "strong" if tag in NEVER or any(len(p) == 1 and p[0] in NEVER_NAMES or p[-1] in ("comments", "reviews", "testimonials", "respond", "footer", "nav", "menu") for p in names) else "weak"
 
 
 class _Element:
@@ -91,7 +97,11 @@ class _Element:
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(name, source, raw): name is 'word' for a run of text, else the tag's name, with / before that of an end tag; raw: no text inside."""
+    last = page.rfind(">")  # no tag begins after it, and none is looked for: each look would go to the page's end
     for m in _TOKEN.finditer(page):
+        if m.start() > last:
+            yield "word", page[m.start() :].partition("<!--")[0], False
+            return
         token = m[0]
         if m[1]:
             yield m[1].lower(), token, True
@@ -101,19 +111,29 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def units(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(name, text, dropped, inside) of each token; dropped: it is in an element marked as no content; inside: in an article element."""
+    """(name, text, dropped, inside) of each token; name: 'word' or, in an anchor outside headings, 'link' for text; dropped: it is in an element marked as no content; inside: in an article element."""
     out: list[tuple[str, str, _Element | None, bool]] = []
     stack: list[tuple[str, _Element | None]] = []
     marked: list[_Element] = []
+    open_names: Counter = Counter()  # of the stack, so that no tag walks it in vain
     depth, level, unmarked, headings = 0, None, 0, 0
     articles: list[list] = []  # [words, the marked element around]
     open_articles: list[list] = []
     raw = _Element("strong", 0, None)
+    linked = heading = False
     for name, token, is_raw in _tokens(page):
+        if name.lstrip("/") == "a":
+            linked = name == "a"
+        elif name.lstrip("/") in HEADINGS:
+            heading = name[0] != "/"
+        elif name.lstrip("/") in BLOCKS:
+            linked = heading = False
         if is_raw:
             out.append((name, "", raw, depth > 0))
         elif name == "word":
             n = len(_WORD.findall(token))
+            if linked and not heading:
+                name = "link"
             if level is None:
                 unmarked += n
             else:
@@ -123,9 +143,10 @@ def units(page: str) -> list[tuple[str, str, bool, bool]]:
             out.append((name, token, level, depth > 0))
         elif name[0] == "/":
             was = level
-            if any(t == name[1:] for t, _ in stack):
+            if open_names[name[1:]]:
                 while True:
                     tag, outer = stack.pop()
+                    open_names[tag] -= 1
                     if tag in ("article", "main"):
                         open_articles.pop()
                         depth -= tag == "article"
@@ -137,7 +158,7 @@ def units(page: str) -> list[tuple[str, str, bool, bool]]:
             out.append((name, "", was, depth > 0))
         else:
             alone = token.endswith("/>") or name in VOID
-            within = depth > 0 or any(t == "main" for t, _ in stack)
+            within = depth > 0 or open_names["main"] > 0
             mark = "" if alone or name in HOLDERS and name != "article" else _mark(name, token, within)
             outer = level
             if mark:
@@ -149,6 +170,7 @@ def units(page: str) -> list[tuple[str, str, bool, bool]]:
                     level.heading = True
             if not alone and (mark or name not in ("p", "li", "b", "i", "a", "span", "em", "strong", "td", "th", "tr", "dt", "dd", "option")):
                 stack.append((name, outer))
+                open_names[name] += 1
                 depth += name == "article"
                 if name in ("article", "main"):
                     open_articles.append([0, level])
@@ -192,8 +214,8 @@ def count(pages: list[str | None]) -> tuple[Counter, Counter]:
         if not any(u[3] for u in own):
             continue
         for name, text, dropped, inside in own:
-            if not dropped and (name == "word" or name.lstrip("/") in KNOWN):
-                (inner if inside else outer)[name] += len(_WORD.findall(text)) if name == "word" else 1
+            if not dropped and (name in ("word", "link") or name.lstrip("/") in KNOWN):
+                (inner if inside else outer)[name] += len(_WORD.findall(text)) if name in ("word", "link") else 1
     return inner, outer
 
 
@@ -206,6 +228,8 @@ def learn(inner: Counter, outer: Counter) -> dict[str, float]:
     for name in {*inner, *outer}:
         odds = math.log((inner[name] + 0.5) / (total + 1)) - math.log((outer[name] + 0.5) / (other + 1))
         score[name] = min(1.0, max(0.2, odds)) if name == "word" else max(-8.0, min(LEAST_COST, odds))
+    # words of links are no evidence for content where they stand alone, whatever their share on the learned pages
+    score["link"] = max(-1.0, min(DEFAULT["link"], score.get("link", 0.0)))
     return DEFAULT | score
 
 
@@ -217,10 +241,10 @@ def extract(page: str | None, score: dict[str, float]) -> str:
     for k, (name, text, dropped, _) in enumerate(own):
         if dropped:  # one cost for a dropped element, however large, as it gives no text
             run += 0.0 if before else score["drop"]
-        elif name == "word":
-            run += score["word"] * len(_WORD.findall(text))
+        elif name in ("word", "link"):
+            run += score[name] * len(_WORD.findall(text))
         else:
-            run += score.get(name, score["tag"])
+            run += score.get(name, LEAST_COST if name.lstrip("/") in LIGHT else score["tag"])
         before = dropped
         if run <= 0:
             run, since = 0.0, k + 1
@@ -228,7 +252,7 @@ def extract(page: str | None, score: dict[str, float]) -> str:
             best, start, end = run, since, k + 1
     blocks, parts = [], []
     for name, text, dropped, _ in [*own[start:end], ("p", "", False, False)]:
-        if name == "word":
+        if name in ("word", "link"):
             if not dropped:
                 parts.append(html.unescape(text))
         elif name.lstrip("/") in BLOCKS:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from gridloom.llm import html_text
 
@@ -82,3 +83,53 @@ def test_fit_counts_what_one_pass_counts(spark, medium, monkeypatch):
     pages = spark.read.parquet(f"{medium}/pages.parquet")
     monkeypatch.setattr(html_text, "SAMPLE", 10_000)
     assert html_text.fit(pages) == html_text.learn(*html_text.count([r["html"] for r in pages.collect()]))
+
+
+def test_a_megabyte_of_unclosed_tags_is_linear():
+    for page in ("<font>a " * 125_000, "<div>" * 100_000 + "words " + "</b>" * 100_000, "<a " * 330_000, "<!x " * 250_000, '<p class="' * 100_000, "<div class=nav>" * 60_000, "<article>" * 100_000 + "w"):
+        began = time.time()
+        html_text.extract(page, html_text.DEFAULT)
+        assert time.time() - began < 8, page[:20]
+
+
+def test_tables_and_marked_lines_of_an_article_stay():
+    rows = "<table><tr><th>name</th><th>size</th></tr><tr><td>a1</td><td>b2</td></tr></table>"
+    body = ARTICLE + '<p class="notice-board">The notice board of the town hall was painted in green last week.</p>' + rows
+    for layout in ("{top}<article>{it}</article>{foot}", "{top}<div>{it}</div>{foot}"):
+        page = "<html><body>" + layout.format(top=TOP, foot=FOOT, it=body) + "</body></html>"
+        got = html_text.extract(page, html_text.DEFAULT)
+        assert got.startswith(TEXT) and got.endswith("name size\n\na1 b2")
+        assert ("notice board" in got) == ("<article>" in layout)
+    reviews = "".join(f'<div class="user-reviews"><p>{"the reader has much to say of it " * 4}</p></div>' for _ in range(30))
+    links = "<div>" + "".join(f"<p><a href=/{i}>another page of this site {i}</a></p>" for i in range(50)) + "</div>"
+    for more in (reviews, links):
+        assert html_text.extract(f"<html><body>{TOP}<div>{ARTICLE}</div>{more}{FOOT}</body></html>", html_text.DEFAULT) == TEXT
+    assert html_text.extract(f"<body><article><h1><a href=x>A linked title</a></h1><p>{'words of it ' * 9}</p></article></body>", html_text.DEFAULT).startswith("A linked title")
+
+
+def tree(r, depth):
+    """(source, words with whether they are dropped) of a random tree of well-formed elements."""
+
+    def make(depth, dropped):
+        source, words = "", []
+        for _ in range(r.randint(1, 4)):
+            if depth == 0 or r.random() < 0.4:
+                w = f"w{r.randrange(10**9)}"
+                source += f" {w} "
+                words.append((w, dropped))
+            else:
+                tag, marked = r.choice([("div", False), ("section", False), ("p class=x", False), ("div class='comments'", True), ("nav", True), ("aside", True), ("table", False), ("ul", False)])
+                inner, own = make(depth - 1, dropped or marked)
+                source += f"<{tag}>{inner}</{tag.split()[0]}>"
+                words += own
+        return source, words
+
+    return make(depth, False)
+
+
+def test_dropped_elements_equal_a_tree_walk():
+    r = random.Random(9)
+    for _ in range(400):
+        source, words = tree(r, 5)
+        got = [(w, dropped) for name, text, dropped, _ in html_text.units(source) for w in text.split()]
+        assert got == words, source
