@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from gridloom.functions.scalar import bounded
+
 #: Rows of one Arrow batch; texts can be long.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, more only by its last row.
@@ -97,7 +99,7 @@ def hash_sample(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
     """
     share = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
     counts = rows.groupBy(group).agg((F.lit(1.5 * most + 50) / F.count(F.lit(1))).alias("_share"))
-    near = rows.join(counts, group).filter(share < F.col("_share")).drop("_share")
+    near = rows.join(bounded(counts), group).filter(share < F.col("_share")).drop("_share")  # so the rows beyond the bounds are not shuffled
     order = Window.partitionBy(group).orderBy(share, key)
     return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
 
