@@ -21,14 +21,19 @@ def session(name: str = "gridloom", master: str | None = None, **more: str) -> S
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def lineage_cut(df: DataFrame) -> DataFrame:
-    """df computed and read back from the folder that spark.checkpoint.dir names, which all executors share, so that lost ones cost no more than
-    their own tasks. Where the folder is unset, which only a local session may leave so, a temporary one is taken."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Where it is unset, which only a local session may leave so, a
+    temporary one is taken."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def lineage_cut(df: DataFrame) -> DataFrame:
+    """df computed and read back from the shared folder, so that lost executors cost no more than their own tasks."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
