@@ -96,8 +96,8 @@ def test_netcdf(spark, tmp_path, version, unlimited):
 
 
 def test_other_files_are_errors(tmp_path):
-    (tmp_path / "a").write_bytes(b"\x89HDF\r\n\x1a\n")
-    for kind in (raster.NetCdf, raster.GeoTiff):
+    (tmp_path / "a").write_bytes(b"\x89PNG\r\n\x1a\n" + bytes(30))
+    for kind in (raster.opened, raster.NetCdf, raster.GeoTiff):
         with pytest.raises(ValueError, match="classic"):
             kind(str(tmp_path / "a"))
 
