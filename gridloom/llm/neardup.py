@@ -45,7 +45,7 @@ COUNTERS, BLOCK = 1 << 20, 2000
 #: Words of 64 parity bits of a set: each shingle turns one over, so two sets' bits differ in at most as many places as the sets do.
 MAPS = 16
 MAP = [f"m{k}" for k in range(MAPS)]
-#: Nodes whose ids may be broadcast: 8 bytes each.
+#: Nodes whose ids, or pairs of ids, may be broadcast: 8 bytes an id.
 BROADCAST_IDS = 1_000_000
 
 
@@ -233,7 +233,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _joined(df: DataFrame, ids: DataFrame, on: str, count: int, how: str = "inner") -> DataFrame:
-    """df joined with ids, which are broadcast if they are at most BROADCAST_IDS."""
+    """df joined with ids, or pairs of them, which are broadcast if they are at most BROADCAST_IDS."""
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, how)
 
 
@@ -258,11 +258,18 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
     sets = stored(_joined(sketch.select(F.col("row").alias("node"), "shingles"), involved, "node", involved.count()), "sets")
 
     def verified(some: DataFrame) -> DataFrame:
-        left = some.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.filter(similarity("x", "y") >= F.lit(threshold)).select("a", "b")
+        """The pairs (a, b) that are as alike as the threshold. Pairs are ids, so they go to the sets while they may be broadcast; of the
+        sets only those that a pair names are shuffled, for the second of the two joins."""
+        asked = stored(some.select("a", "b"), "asked")
+        n = asked.count()
+        left = _joined(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), asked, "a", n)
+        named = _joined(sets, asked.select(F.col("b").alias("node")).distinct(), "node", n, "left_semi")
+        both = left.join(named.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        out = stored(both.filter(similarity("x", "y") >= F.lit(threshold)).select("a", "b"), "verified")
+        discard(asked)
+        return out
 
-    found = components(stored(verified(pairs), "verified"))
+    found = components(verified(pairs))
     labels = stored(involved.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     for k in range(1, rounds):
         marked = shared.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
@@ -274,7 +281,7 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
             few = apart.filter(F.col("size") <= SMALL)
             other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
             pairs = pairs.union(few.join(other, "bucket").filter((F.col("label") != F.col("other")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b"))
-        more = stored(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "verified")
+        more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if more.isEmpty():
             break
         labels = merged(labels, more)
@@ -288,12 +295,12 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
         for k in range(CENTRES):  # one pair of each two classes: where it links them, their other pairs need no comparison
             likely = F.struct(F.col("shared") if k == 0 else F.lit(0), F.xxhash64("a", "b", F.lit(k)))
             best = pairs.groupBy("a_label", "b_label").agg(F.max_by(F.struct("a", "b"), likely).alias("p")).select("p.a", "p.b")
-            more = stored(verified(best), "verified")
+            more = verified(best)
             if more.isEmpty():
                 break
             labels = merged(labels, more)
             pairs = stored(_apart(pairs, labels), "pairs")
-        labels = merged(labels, stored(verified(pairs.select("a", "b")), "verified"))
+        labels = merged(labels, verified(pairs))
     named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     rows = stored(sketch.join(named, "key").select("doc_id", "row", "label", *[c for c in sketch.columns if c == "_row"]), "labelled")
     # a table of its own, so that the join with it shuffles both sides and a large class can be split
