@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import boosting
+
 #: The record's fields, their types, and the range that each must be in.
 RECORD = {
     "is_weekend": ("int", 0, 1),
@@ -66,14 +68,8 @@ def mae_by_group(predicted: DataFrame, group: str, label: str = "target", predic
 
 
 def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], label: str = "target", **settings: float) -> DataFrame:
-    """group, train_mae, test_mae: a model for each group, fitted on the others. One fit a group, as groups are countries; each is distributed."""
-    spark, out = df.sparkSession, []
-    for (g,) in sorted(tuple(r) for r in df.select(group).distinct().collect()):
-        model = regressor(features, label, **settings).fit(df.filter(F.col(group) != g))
-        error = model.transform(df).groupBy((F.col(group) == g).alias("held")).agg(F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae")).collect()
-        found = {r["held"]: r["mae"] for r in error}
-        out.append((g, found.get(False), found.get(True)))
-    return spark.createDataFrame(out, f"{group} {dict(df.dtypes)[group]}, train_mae double, test_mae double").orderBy(F.desc("test_mae"))
+    """group, train_mae, test_mae: a model for each group, fitted on the others; see `boosting.fit` for the settings."""
+    return boosting.leave_one_group_out(df, group, features, label, **settings)
 
 
 def project(weather: DataFrame, annual: DataFrame, first: int = 2020, last: int = 2100, step: int = 5, code: str = "code") -> DataFrame:

@@ -75,8 +75,24 @@ def mean_over_top_cells(t: Tables) -> DataFrame:
 
 @book.add()
 def gbt_logo(t: Tables) -> DataFrame:
-    """Leave-one-group-out errors of boosted trees on events; a small model, as it is fitted once for each group."""
+    """Leave-one-group-out errors of boosted trees on events; the models of all groups grow together."""
     hourly = series.resample(t.events, ["event_type"])
     rows = features.local_fields(hourly, "UTC")
     target = features.group_mean_normalized(rows, ["event_type"], "value", "target").select("event_type", "hour", "is_weekend", F.dayofmonth("ts").alias("day"), "target")
     return forecast.leave_one_group_out(target, "event_type", ["hour", "is_weekend", "day"], trees=5, depth=3)
+
+
+@book.add(
+    """WITH r AS (SELECT event_type AS g, value AS y, hour(ts) AS f0, user_id % 10 AS f1, dayofmonth(ts) AS f2 FROM events WHERE value IS NOT NULL), m AS (SELECT DISTINCT g AS out FROM r),
+ b AS (SELECT out, avg(y) AS base FROM r JOIN m ON g <> out GROUP BY 1),
+ u AS (SELECT out, f, x, sum(base - y) AS gs, count(*) AS h FROM (SELECT out, base, y, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS x FROM r JOIN b ON g <> out) GROUP BY ALL),
+ c AS (SELECT out, f, x, sum(gs) OVER w AS gl, sum(h) OVER w AS hl, sum(gs) OVER v AS g, sum(h) OVER v AS ht FROM u WINDOW w AS (PARTITION BY out, f ORDER BY x), v AS (PARTITION BY out, f)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY out ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (ht - hl + 1) - g * g / (ht + 1) DESC) AS n FROM c WHERE ht - hl >= 1),
+ p AS (SELECT out, r.g, y, base + CASE WHEN [f0, f1, f2][f + 1] <= x THEN -0.3::DOUBLE * gl / (hl + 1) ELSE -0.3::DOUBLE * (k.g - gl) / (ht - hl + 1) END AS p FROM r CROSS JOIN b JOIN k USING (out) WHERE n = 1)
+ SELECT out AS event_type, round(avg(abs(p - y)) FILTER (g <> out), 6) AS train_mae, round(avg(abs(p - y)) FILTER (g = out), 6) AS test_mae FROM p GROUP BY 1"""
+)
+def gbt_stumps(t: Tables) -> DataFrame:
+    """Leave-one-group-out errors of one tree of one cut, by the first step of second-order boosting."""
+    rows = t.events.select("event_type", F.hour("ts").alias("hour"), (F.col("user_id") % 10).alias("user"), F.dayofmonth("ts").alias("day"), F.col("value").alias("target"))
+    found = forecast.leave_one_group_out(rows, "event_type", ["hour", "user", "day"], trees=1, depth=1, rate=0.3, bins=512)
+    return found.select("event_type", F.round("train_mae", 6).alias("train_mae"), F.round("test_mae", 6).alias("test_mae"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import time as T
 from gridloom.functions.scalar import either, row_sum
-from gridloom.operators import coverage, features, forecast, series
+from gridloom.operators import coverage, features, forecast, fuzzy, series
 from gridloom.plans.base import Book, Tables
 from gridloom.sources import readers
 from gridloom.sources import requests as Q
@@ -312,13 +312,23 @@ def drop_last_row(t: Tables) -> DataFrame:
  SELECT k::BIGINT AS k, arg_min(n_name, (d, n_name)) AS name FROM p GROUP BY 1"""
 )
 def fuzzy_names(t: Tables) -> DataFrame:
-    """Misspelt names to the nearest of a dictionary of at most 1,000 names, which each row looks through as an array; a larger one is an error."""
+    """Misspelt names to the nearest of a dictionary."""
     asked = t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.expr("substr(n_name, 1, length(n_name) - 1)").alias("asked"))
-    known = [r["n_name"] for r in t.nation.select("n_name").distinct().limit(1001).collect()]
-    if len(known) > 1000:
-        raise ValueError("the dictionary has over 1,000 names")
-    near = F.transform(F.array(*map(F.lit, known)), lambda name: F.struct(F.levenshtein("asked", name).alias("d"), name.alias("name")))
-    return asked.select("k", F.array_min(near)["name"].alias("name"))
+    return fuzzy.nearest_names(asked, t.nation.select(F.col("n_name").alias("name"))).select("k", "name")
+
+
+@book.add(
+    """WITH q AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN reverse(c_name) WHEN 1 THEN substr(c_name, 2) || 'x' WHEN 2 THEN substr(c_name, 1, 4) || substr(c_name, 6) ELSE c_name || c_custkey % 1000 END AS asked FROM customer WHERE c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING'),
+ k AS (SELECT c_name || CASE WHEN c_nationkey < 12 THEN c_mktsegment ELSE '' END AS name FROM customer), p AS (SELECT k, name, levenshtein(asked, name) AS d FROM q JOIN k ON abs(length(asked) - length(name)) <= 2 AND levenshtein(asked, name) <= 2)
+ SELECT q.k, arg_min(name, (d, name)) AS name, min(d)::INT AS distance FROM q LEFT JOIN p ON q.k = p.k GROUP BY 1"""
+)
+def fuzzy_customers(t: Tables) -> DataFrame:
+    """Misspelt names of customers to the nearest of all, up to two edits away; some are beyond."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    spelt = F.when(k % 4 == 0, F.reverse(name)).when(k % 4 == 1, F.concat(F.substr(name, F.lit(2)), F.lit("x"))).when(k % 4 == 2, F.concat(F.substring(name, 1, 4), F.substr(name, F.lit(6)))).otherwise(F.concat(name, (k % 1000).cast("string")))
+    asked = t.customer.filter((k % 3 == 0) | (F.col("c_mktsegment") == "BUILDING")).select(k.alias("k"), spelt.alias("asked"))
+    known = t.customer.select(F.concat(name, F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).otherwise("")).alias("name"))
+    return fuzzy.nearest_names(asked, known).select("k", "name", "distance")
 
 
 @book.add(
