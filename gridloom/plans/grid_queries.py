@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import quarter, wrap_longitude
+from gridloom.functions.scalar import quarter
 from gridloom.operators import features, forecast, grid, series
 from gridloom.plans.base import Book, Tables
 
@@ -48,7 +48,8 @@ def coarsen_grid(t: Tables) -> DataFrame:
 
 @book.add("SELECT c_custkey, round(CASE WHEN lon + 179.99999 >= 360 THEN lon + 179.99999 - 360 ELSE lon + 179.99999 END - 179.99999, 4) AS x FROM (SELECT c_custkey, (c_custkey % 1440) / 4.0::DOUBLE AS lon FROM customer)")
 def wrap_longitudes(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.round(wrap_longitude(F.col("c_custkey") % 1440 / F.lit(4.0)), 4).alias("x"))
+    own = t.customer.select("c_custkey", (F.col("c_custkey") % 1440 / F.lit(4.0)).alias("lon"), F.lit(0.0).alias("lat"))
+    return grid.harmonize_coordinates(own, keys=["c_custkey"]).select("c_custkey", F.col("x").cast("double").alias("x"))
 
 
 @book.add("SELECT c_custkey, round_even((c_custkey % 1000) / 8.0::DOUBLE * 4, 0) / 4 AS q FROM customer")

@@ -159,8 +159,8 @@ def melt_wide(t: Tables) -> DataFrame:
 def melt_hours(t: Tables) -> DataFrame:
     """Hours to columns and back."""
     wide = t.events.withColumn("h", F.concat((F.hour("ts") + 1).cast("string"), F.lit("h"))).groupBy("event_type", F.to_date("ts").alias("day")).pivot("h", [f"{k}h" for k in range(1, 25)]).agg(F.avg("value"))
-    long = wide.unpivot(["event_type", "day"], [f"{k}h" for k in range(1, 25)], "_h", "v").filter("v is not null")
-    return long.select("event_type", "day", (F.regexp_extract("_h", r"(\d+)", 1).cast("int") - 1).cast("long").alias("hour"), F.round("v", 6).alias("v"))
+    long = readers.melt_hours(wide, ["event_type", "day"], [f"{k}h" for k in range(1, 25)], "v").filter("v is not null")
+    return long.select("event_type", "day", F.col("hour").cast("long").alias("hour"), F.round("v", 6).alias("v"))
 
 
 @book.add("SELECT o_orderpriority AS p, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS f, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY 1")
@@ -171,20 +171,20 @@ def pivot_long(t: Tables) -> DataFrame:
 
 @book.add(r"""WITH m AS (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS h FROM pages), z AS (SELECT page_id, generate_subscripts(h, 1)::BIGINT - 1 AS n, unnest(h) AS link FROM m) SELECT page_id, n, link FROM z""")
 def regex_extract_series(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("n", "link")).withColumn("n", F.col("n").cast("long"))
+    return readers.parallel_lists(t.pages, "html", {"link": 'href="/([^"]*)"'}, ["page_id"], "n").withColumn("n", F.col("n").cast("long"))
 
 
 @book.add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_keypath(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    landed = t.events.select("event_id", F.concat(F.lit('{"records":['), F.col("props"), F.lit("]}")).alias("body"))
+    return readers.json_path(landed, "body", "k bigint", ["records"], ["event_id"])
 
 
 @book.add("SELECT user_id, k FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
 def json_records(t: Tables) -> DataFrame:
     """Records nested under a key path, as feeds land."""
     landed = t.events.select("user_id", F.concat(F.lit('{"data":{"data":['), F.col("props"), F.lit("]}}")).alias("body"))
-    whole = F.from_json("body", "data struct<data: array<struct<k: bigint>>>")
-    return landed.select("user_id", F.explode(whole["data"]["data"]).alias("r")).select("user_id", F.col("r.k").alias("k"))
+    return readers.json_path(landed, "body", "k bigint", ["data", "data"], ["user_id"])
 
 
 @book.add("SELECT l_shipdate, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")

@@ -66,6 +66,32 @@ def ts_fill_year(t: Tables) -> DataFrame:
     return series.fill_calendar(own, ["event_type"]).withColumn("value", F.round("value", 6))
 
 
+#: A zone five hours west of UTC in winter; the events are moved to begin with its year, which then ends five hours late in UTC.
+ZONE = "America/New_York"
+
+
+@book.add(
+    """WITH s AS (SELECT event_type, date_trunc('hour', ts + INTERVAL 5 HOUR)::TIMESTAMP AS ts, avg(value) AS value FROM events WHERE hour(ts) % 5 <> 3 GROUP BY ALL),
+ g AS (SELECT e.event_type, unnest(generate_series(TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2025-01-01 04:00:00', INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT event_type FROM s) e)
+ SELECT g.event_type, g.ts, round(s.value, 6) AS value FROM g LEFT JOIN s ON g.event_type = s.event_type AND g.ts = s.ts"""
+)
+def ts_fill_year_zoned(t: Tables) -> DataFrame:
+    moved = t.events.filter(F.hour("ts") % 5 != 3).withColumn("ts", F.timestamp_add("HOUR", F.lit(5), F.col("ts")))
+    return series.fill_calendar(series.resample(moved, ["event_type"]), ["event_type"], ZONE).withColumn("value", F.round("value", 6))
+
+
+@book.add(
+    """WITH s AS (SELECT event_type, to_timestamp(floor(epoch(ts) / 1800) * 1800)::TIMESTAMP + INTERVAL 5 HOUR AS ts, avg(value) AS value FROM events GROUP BY ALL),
+ g AS (SELECT e.event_type, unnest(generate_series(TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2025-01-01 04:30:00', INTERVAL 30 MINUTE)) AS ts FROM (SELECT DISTINCT event_type FROM s) e),
+ f AS (SELECT g.event_type, g.ts, s.value FROM g LEFT JOIN s ON g.event_type = s.event_type AND g.ts = s.ts),
+ h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS value FROM f GROUP BY ALL)
+ SELECT event_type, ts, round(coalesce(value, (lag(value) OVER w + lead(value) OVER w) / 2), 6) AS value FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)"""
+)
+def ts_harmonize_zoned(t: Tables) -> DataFrame:
+    moved = t.events.withColumn("ts", F.timestamp_add("HOUR", F.lit(5), F.col("ts")))
+    return series.harmonize(series.resample(moved, ["event_type"], 30), ["event_type"], ZONE).withColumn("value", F.round("value", 6))
+
+
 @book.add(f"WITH {HOURLY_SQL}, {GRID_SQL}, {LERP_SQL} SELECT event_type, u, ts, round(value, 6) AS value FROM lerp")
 def ts_interpolate_isolated(t: Tables) -> DataFrame:
     filled = series.fill_between(hourly(t), ["event_type", "u"], 60)

@@ -50,10 +50,11 @@ def nested_series(df: DataFrame, text: str, schema: str, keys: Sequence[str], wa
     return found.select(*keep, F.posexplode(values).alias("position", "_e")).select(*keep, "position", "_e.*")
 
 
-def parallel_lists(df: DataFrame, text: str, patterns: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """All matches of each pattern's first group, zipped by position: a row for each."""
+def parallel_lists(df: DataFrame, text: str, patterns: dict[str, str], keep: Sequence[str] = (), position: str | None = None) -> DataFrame:
+    """All matches of each pattern's first group, zipped by position: a row for each, after the columns to keep and, if it is named, the position."""
     found = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias(n) for n, p in patterns.items()]
-    return df.select(*keep, *found).select(*keep, F.inline(F.arrays_zip(*patterns)))
+    rows = df.select(*keep, *found).select(*keep, F.posexplode(F.arrays_zip(*patterns)).alias(position or "_n", "_e"))
+    return rows.select(*keep, *[position] * bool(position), "_e.*")
 
 
 def hidden_fields(df: DataFrame, page: str, names: Sequence[str] = ("__VIEWSTATE", "__VIEWSTATEGENERATOR", "__EVENTVALIDATION")) -> DataFrame:
@@ -113,9 +114,9 @@ def listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
 
 
-def melt_hours(wide: DataFrame, day: str, hour_columns: Sequence[str], value: str = "value") -> DataFrame:
-    """day, hour (from 0), value of a table with a column for each hour, named or ending in its number from 1."""
-    return wide.unpivot([day], list(hour_columns), "_h", value).withColumn("hour", F.regexp_extract("_h", r"(\d+)", 1).cast("int") - 1).drop("_h")
+def melt_hours(wide: DataFrame, day: str | Sequence[str], hour_columns: Sequence[str], value: str = "value") -> DataFrame:
+    """day (and other columns to keep), hour (from 0), value of a table with a column for each hour, named or ending in its number from 1."""
+    return wide.unpivot([day] if isinstance(day, str) else list(day), list(hour_columns), "_h", value).withColumn("hour", F.regexp_extract("_h", r"(\d+)", 1).cast("int") - 1).drop("_h")
 
 
 def struct_hours(df: DataFrame, day: str, struct: str, prefix: str = "Hour", count: int = 24, value: str = "value") -> DataFrame:

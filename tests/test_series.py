@@ -141,13 +141,14 @@ def test_positions(odd, width):
     assert got == want
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_percentiles(spark, most):
     import numpy as np
 
     values = {"skewed": [3.0] * 500 + [1e9, -1e9, 4.0, 3.5], "one": [2.0], "flat": [1.0] * 7, None: [float(k * k % 101) for k in range(997)]}
     rows = [(c, v) for c, vs in values.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
     shares = {"p00": 0.0, "p05": 0.05, "p50": 0.5, "p999": 0.999, "p100": 1.0}
-    got = {r["code"]: r for r in series.percentiles(spark.createDataFrame(rows, "code string, v double"), ["code"], "v", shares).collect()}
+    got = {r["code"]: r for r in series.percentiles(spark.createDataFrame(rows, "code string, v double"), ["code"], "v", shares, most=most).collect()}
     assert set(got) == {*values, "none"} and got["none"]["p50"] is None
     for code, vs in values.items():
         for n, q in shares.items():
