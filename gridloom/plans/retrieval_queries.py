@@ -1,4 +1,4 @@
-"""A retrieval over requests of orders and answers made from events, with planted failures."""
+"""Retrieval from answers made of events: over requests of orders, with planted failures, and of two feeds as they are sent."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import time as T
+from gridloom.plans import pipelines
 from gridloom.plans.base import Book, Tables
 from gridloom.session import shared_folder
+from gridloom.sources import landings, retrieval
 from gridloom.sources import requests as Q
-from gridloom.sources import retrieval
 
 book = Book()
 
@@ -52,3 +54,29 @@ def retrieved_requests(t: Tables) -> DataFrame:
     written = t._spark.read.parquet(f"{path}/data").groupBy("code", "day").agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_v"))
     total = [F.coalesce(F.sum("_n"), F.lit(0)).alias("events"), F.coalesce(F.round(F.sum("_v"), 4), F.lit(0.0)).alias("total")]
     return outcomes.join(written, ["code", "day"], "left").groupBy("code", "outcome").agg(F.count(F.lit(1)).alias("requests"), F.sum("attempts").alias("attempts"), *total)
+
+
+@book.add(
+    """SELECT event_type AS code, (date_trunc('hour', ts) + INTERVAL 6 HOUR)::TIMESTAMP AS ts, round(sum(value) / 1000, 9) AS value FROM events GROUP BY 1, 2 HAVING sum(value) <> 0"""
+)
+def feed_of_days(t: Tables) -> DataFrame:
+    """Answers of days with a field an hour, made from events, to clean instants and MW."""
+    named = t.events.select(F.col("event_type").alias("code"), F.to_date("ts").cast("string").alias("Date"), F.date_format("ts", "HH").alias("h"), "value")
+    hours = named.groupBy("code", "Date").pivot("h", [f"{h:02d}" for h in range(24)]).agg(F.sum("value"))
+    item = F.struct("Date", F.struct(*[F.col(f"{h:02d}").alias(f"Hour{h + 1:02d}") for h in range(24)]).alias("Values"))
+    answers = hours.select("code", F.to_json(F.struct(F.array(item).alias("Items"))).alias("text"))
+    return pipelines.retrieve(landings.colombia(answers), "xm").withColumn("value", F.round("value", 9))
+
+
+@book.add(
+    """WITH h AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS b, sum(value) AS value FROM events GROUP BY 1, 2),
+ n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY b) AS n FROM h)
+ SELECT event_type AS code, (TIMESTAMP '2024-01-01 00:00:00' + n * INTERVAL 30 MINUTE)::TIMESTAMP AS ts, round(value, 6) AS value FROM n WHERE value <> 0"""
+)
+def feed_of_a_year(t: Tables) -> DataFrame:
+    """Answers that are lists of half hours without times, made from events, to clean instants and MW."""
+    halves = t.events.groupBy(F.col("event_type").alias("code"), T.bucket(F.col("ts"), 30).alias("b")).agg(F.sum("value").alias("ND"))
+    records = F.transform(F.array_sort(F.collect_list(F.struct("b", "ND"))), lambda r: F.struct(r["ND"].alias("ND")))
+    lists = halves.groupBy("code").agg(records.alias("r"))
+    answers = lists.select("code", F.lit(2024).alias("year"), F.to_json(F.struct(F.struct(F.col("r").alias("records")).alias("result"))).alias("text"))
+    return pipelines.retrieve(landings.great_britain(answers), "neso").withColumn("value", F.round("value", 6))
