@@ -251,8 +251,9 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
     members = alone.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order)["node"].alias("centre")).filter("size > 1")
-    size = stored(size, "sizes")  # a table of its own, here and below, so that both sides of the join are shuffled and a hot bucket can be split
-    shared = stored(members.join(size, "bucket"), "buckets")
+    # a table of its own, here and below: it is broadcast while it is small, and beyond that both sides are shuffled and a hot bucket can be split
+    size = stored(size, "sizes")
+    shared = stored(_joined(members, size, "bucket", size.count()), "buckets")
     pairs = shared.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = stored(shared.select("node").distinct(), "involved")
     sets = stored(_joined(sketch.select(F.col("row").alias("node"), "shingles"), involved, "node", involved.count()), "sets")
