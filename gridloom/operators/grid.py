@@ -170,3 +170,14 @@ def shape_lookup(records: DataFrame, wanted: DataFrame, code_columns: Sequence[s
 def preferred(special: DataFrame, standard: DataFrame) -> DataFrame:
     """The special shapes, and the standard ones of all other codes."""
     return special.unionByName(standard.join(special.select("code"), "code", "left_anti"))
+
+
+def entity_shapes(wanted: DataFrame, standard: DataFrame, special: DataFrame, code_columns: Sequence[str], name_columns: Sequence[str], islands: bool = False) -> DataFrame:
+    """code, rings of the wanted(code, name): the special shape of a subdivision that has one, else the standard record's that matches best.
+
+    standard: rings, and columns with codes and names; special: code, rings. islands: whether countries keep their far ones; special shapes
+    are as they are. Codes without a shape are no rows."""
+    asked = wanted.select("code", "name")
+    own = special.select("code", "rings").join(asked.filter(F.col("code").contains("_")).select("code"), "code", "left_semi")
+    found = shape_lookup(standard, asked.join(own.select("code"), "code", "left_anti"), code_columns, name_columns).select("code", "rings")
+    return preferred(own, found if islands else without_islands(found))

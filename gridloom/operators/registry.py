@@ -101,3 +101,11 @@ def available_years(entities: DataFrame) -> DataFrame:
     ranges = date_ranges(entities).join(zones(entities), "code")
     utc = lambda d: F.year(T.to_utc(F.col(d).cast("timestamp_ntz"), F.col("zone")))
     return ranges.select("code", F.explode(F.sequence(utc("start_date"), utc("end_date"))).alias("year"))
+
+
+def folders(text: str, root: str) -> dict[str, str]:
+    """Names of folders to their paths: values of a YAML mapping, or lists that are joined, below the root; and root_folder itself."""
+    import yaml
+
+    held = yaml.safe_load(text) or {}
+    return {name: "/".join([root.rstrip("/"), *([v] if isinstance(v, str) else v)]) for name, v in held.items()} | {"root_folder": root}

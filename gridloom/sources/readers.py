@@ -20,13 +20,16 @@ from pyspark.sql.window import Window
 
 
 def csv(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str = ",", skip: int = 0, header: bool = True, **options: str) -> DataFrame:
-    """A CSV scan with a fixed schema. skip: lines before the header; they are dropped by their number within the file."""
+    """A CSV scan with a fixed schema. skip: lines before the header, which are dropped with it by their place in the file; then rows are lines,
+    and a quoted line break ends one. Files are split among tasks as others are."""
     if not skip:
         return spark.read.schema(schema).option("sep", sep).option("header", header).options(**options).csv(path)
     paths = [path] if isinstance(path, str) else list(path)
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).filter((F.col("n") >= skip + int(header)) & (F.trim("line") != ""))
-    return lines.select(F.from_csv("line", schema, {"sep": sep} | options).alias("r")).select("r.*")
+    # lines are numbered within the scan; a file's first split holds the lines to drop, and its least number is that of the file's first line
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    first = lines.filter("_at = 0").groupBy("_file").agg(F.min("_n").alias("_first"))
+    kept = lines.join(first, "_file").filter((F.col("_at") > 0) | (F.col("_n") - F.col("_first") >= skip + int(header))).filter(F.trim("value") != "")
+    return kept.select(F.from_csv("value", schema, {"sep": sep} | options).alias("r")).select("r.*")
 
 
 def json_path(df: DataFrame, text: str, schema: str, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

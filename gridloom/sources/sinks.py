@@ -30,3 +30,8 @@ def demand(df: DataFrame, path: str, retrieval_date: str, source: str, csv_path:
     """code, ts, value to retrieval_date=, data_source=, entity_code= partitions of `Time (UTC)` and `Load (MW)`."""
     named = df.select(F.lit(retrieval_date).alias("retrieval_date"), F.lit(source).alias("data_source"), F.col("code").alias("entity_code"), F.col("ts").alias("Time (UTC)"), F.col("value").alias("Load (MW)"))
     write(named, path, ["retrieval_date", "data_source", "entity_code"], ["Time (UTC)"], csv_path)
+
+
+def projections(df: DataFrame, path: str, code: str = "code", order: Sequence[str] = ("year", "position")) -> None:
+    """Projected loads, a partition for each code and year, in order of the year's positions."""
+    write(df, path, [code, "year"], [c for c in order if c in df.columns and c != "year"])
