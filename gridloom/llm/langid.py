@@ -35,12 +35,15 @@ SAMPLE = 2000
 #: The share of a language's own documents that calibration lets be rejected.
 FALSE_REJECTION = 0.001
 REMEMBERED = 250_000
+#: New words that are scored at once.
+AT_ONCE = 10_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each character after the first space of ' word ': word index, and the hashes of the 1- to ORDER-grams that end there; and how many
-    of the orders exist there, and the hashes of the contexts (the gram without its last character)."""
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters of all ' word ' in a row the hashes of the 1- to ORDER-grams that end at each; and for each character after a word's
+    first space its place in that row, its word's index, and how many of the orders exist there. The context of a gram of n characters is the
+    gram of n - 1 that ends one place before."""
     joined = "".join(f" {w} " for w in words)
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
@@ -50,31 +53,34 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for n in range(1, min(ORDER, len(code)) + 1):  # hash of the n characters that end at each place, from those of n - 1 that end there
         grams[n, n - 1 :] = mix(grams[n - 1, n - 1 :] + (code[: len(code) - n + 1] + np.uint64(1)) * _SEED + np.uint64(n))
     here = np.flatnonzero(inside > 0)
-    orders = np.minimum(inside[here] + 1, ORDER)
-    word = np.repeat(np.arange(len(words)), length)[here]
-    contexts = grams[:, here - 1]
-    return word, grams[:, here], orders, contexts
+    return grams, here, np.repeat(np.arange(len(words)), length)[here], np.minimum(inside[here] + 1, ORDER)
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, by character: word index, hashes of the grams that end there, how many of the orders exist there, hashes of the contexts."""
+    grams, here, word, orders = _places(words)
+    return word, grams[:, here], orders, grams[:, here - 1]
 
 
 def train(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of n-grams and their discounted probabilities; sorted hashes of contexts and the weights of the lower order."""
-    word, grams, orders, contexts = _grams(words)
+    grams, here, word, orders = _places(words)
     weight = counts[word].astype(np.float64)
     keys, probabilities, heads, rests = [], [], [], []
     for n in range(1, ORDER + 1):
         at = np.flatnonzero(orders >= n)
-        key, one, which = np.unique(grams[n, at], return_index=True, return_inverse=True)
+        key, one, which = np.unique(grams[n, here[at]], return_index=True, return_inverse=True)
         count = np.bincount(which, weight[at], len(key))
         if n < ORDER:  # distinct left neighbours; a gram that begins a word has none and keeps its count
             longer = np.flatnonzero(orders >= n + 1)
-            wide, first = np.unique(grams[n + 1, longer], return_index=True)
+            wide, first = np.unique(grams[n + 1, here[longer]], return_index=True)
             left = np.zeros(len(key))
-            np.add.at(left, np.searchsorted(key, grams[n, longer[first]]), 1.0)
+            np.add.at(left, np.searchsorted(key, grams[n, here[longer[first]]]), 1.0)
             starts = np.zeros(len(key))
             begin = orders[at] == n
             np.add.at(starts, which[begin], weight[at][begin])
             count = left + starts
-        context = contexts[n - 1, at[one]] if n > 1 else np.zeros(len(key), np.uint64)
+        context = grams[n - 1, here[at[one]] - 1] if n > 1 else np.zeros(len(key), np.uint64)
         head, inverse = np.unique(context, return_inverse=True)
         total, kinds = np.bincount(inverse, count, len(head)), np.bincount(inverse, minlength=len(head))
         once, twice = (count == 1).sum(), (count == 2).sum()
@@ -115,15 +121,16 @@ class Model:
 
     def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: bits in each language, and characters (with the space after)."""
-        word, grams, orders, contexts = _grams(words)
+        grams, here, word, orders = _places(words)
         p = np.full((len(word), len(self.languages)), 1.0 / self.letters)
         for n in range(1, ORDER + 1):
             at = np.flatnonzero(orders >= n)
-            head = mix((contexts[n - 1, at] if n > 1 else np.zeros(len(at), np.uint64)) + np.uint64(n))
+            head = mix((grams[n - 1, here[at] - 1] if n > 1 else np.zeros(len(at), np.uint64)) + np.uint64(n))
             place = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
             rest = np.where((self.heads[place] == head)[:, None], self.rest[place], 1.0)
-            place = np.minimum(np.searchsorted(self.keys, grams[n, at]), len(self.keys) - 1)
-            own = np.where((self.keys[place] == grams[n, at])[:, None], self.probability[place], 0.0)
+            gram = grams[n, here[at]]
+            place = np.minimum(np.searchsorted(self.keys, gram), len(self.keys) - 1)
+            own = np.where((self.keys[place] == gram)[:, None], self.probability[place], 0.0)
             p[at] = own + rest * p[at]
         cost = -np.log2(np.maximum(p, 1e-12))
         out = np.stack([np.bincount(word, cost[:, k], len(words)) for k in range(len(self.languages))], 1)
@@ -153,9 +160,9 @@ class Scorer:
                 place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 hit = keys[place] == key
                 value[hit] = values[place[hit]]
-        new = np.flatnonzero(np.isnan(value[:, 0]))
-        if len(new):
-            buf = words.buf.tobytes()
+        unknown = np.flatnonzero(np.isnan(value[:, 0]))
+        buf = words.buf.tobytes() if len(unknown) else b""
+        for new in (unknown[k : k + AT_ONCE] for k in range(0, len(unknown), AT_ONCE)):
             own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())]
             bits, size = self.model.bits(own)
             spoken = np.array([not w.isdigit() for w in own], float)[:, None]
@@ -184,23 +191,32 @@ def sample(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """The models of the languages in docs (doc_id, text, lang); None if there is no row to learn from. A language's sample is one task's."""
+    """The models of the languages in docs (doc_id, text, lang); None if there is no row to learn from. The sample's words are counted
+    first; a language's distinct ones, with their counts, are one task's."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        words = Words(rows["text"].tolist())
-        _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
+    def counted(rows: dict[str, list]) -> dict[str, object]:
+        words, out = Words(rows["text"]), {"lang": [], "word": [], "n": []}
         buf = words.buf.tobytes()
-        own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        spoken = [k for k, w in enumerate(own) if not w.isdigit()]
-        if not spoken:
-            return pd.DataFrame({"lang": [], "part": []})
-        part = train([own[k] for k in spoken], count[spoken])
+        for k, lang in enumerate(rows["lang"]):
+            lo, hi = words.first[k], words.first[k + 1]
+            _, first, count = np.unique(words.hash[lo:hi], return_index=True, return_counts=True)
+            own = [buf[a:b].decode("utf-8", "replace") for a, b in zip(words.start[lo + first].tolist(), words.end[lo + first].tolist())]
+            spoken = [(w, c) for w, c in zip(own, count.tolist()) if not w.isdigit()]
+            out["lang"] += [lang] * len(spoken)
+            out["word"] += [w for w, _ in spoken]
+            out["n"] += [c for _, c in spoken]
+        return out
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("word")
+        part = train(rows["word"].tolist(), rows["n"].to_numpy())
         data = b"".join([np.int64(len(part[0])).tobytes(), np.int64(len(part[2])).tobytes(), part[0].tobytes(), part[1].astype("<f4").tobytes(), part[2].tobytes(), part[3].astype("<f4").tobytes()])
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "part": [data]})
 
     chosen = stored(sample(docs), "languages")
+    words = map_rows(chosen.filter("trains").select("lang", "text"), "lang string, word string, n long", counted).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     parts = {}
-    for row in chosen.filter("trains").groupBy("lang").applyInPandas(one, "lang string, part binary").collect():
+    for row in words.groupBy("lang").applyInPandas(one, "lang string, part binary").collect():
         data = bytes(row["part"])
         n, m = np.frombuffer(data, np.int64, 2)
         at, arrays = 16, []
