@@ -42,6 +42,12 @@ def level(x: Column, edges: Sequence[float]) -> Column:
     return out
 
 
+def whole_label(x: Column, step: float = 1.0) -> Column:
+    """The number of whole steps in x as text; of numbers below 0 too, it is rounded towards 0."""
+    steps = x / F.lit(float(step))
+    return F.when(steps < 0, F.ceil(steps)).otherwise(F.floor(steps)).cast("string")
+
+
 def finite(x: Column) -> Column:
     """0 for null, NaN and infinities."""
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import time as T
-from gridloom.functions.scalar import either, row_sum
+from gridloom.functions.scalar import either, row_sum, whole_label
 from gridloom.operators import coverage, features, forecast, fuzzy, series
 from gridloom.plans.base import Book, Tables
 from gridloom.sources import readers
@@ -345,6 +345,11 @@ def time_formats(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", *parsed)
 
 
+@book.add("SELECT o_orderkey, CAST(trunc(o_totalprice / 1000) AS BIGINT)::VARCHAR AS label, CAST(trunc(-o_totalprice / 250) AS BIGINT)::VARCHAR AS below FROM orders")
+def whole_labels(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", whole_label(F.col("o_totalprice"), 1000).alias("label"), whole_label(-F.col("o_totalprice"), 250).alias("below"))
+
+
 @book.add("SELECT DISTINCT year, dayofyear(make_date(year, 12, 31))::BIGINT AS days FROM (SELECT year(o_orderdate) - o_custkey % 110 AS year FROM orders)")
 def leap_years(t: Tables) -> DataFrame:
     """Years of orders, and of up to 109 years before, with their days."""
