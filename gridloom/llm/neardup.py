@@ -247,7 +247,7 @@ def _classes(docs: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame,
     """Stored tables: of each row doc_id, row, label and, if docs have it, _row; and of each label least (doc_id), class_size and first (row of the least doc_id)."""
     sketch = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketch")
     nodes = stored(sketch.groupBy("key").agg(F.min("row").alias("node")), "nodes")
-    alone = sketch.select("row", "bands").join(nodes.select(F.col("node").alias("row")), "row")
+    alone = _joined(sketch.select("row", "bands"), nodes.select(F.col("node").alias("row")), "row", nodes.count())
     members = alone.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order)["node"].alias("centre")).filter("size > 1")
