@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import grid_queries, overlay_queries, relational_queries, retrieval_queries, series_queries
+from gridloom.plans import feed_queries, grid_queries, overlay_queries, relational_queries, retrieval_queries, series_queries
 from gridloom.plans.base import Query
 
-BOOKS = (series_queries.book, relational_queries.book, grid_queries.book, overlay_queries.book, retrieval_queries.book)
+BOOKS = (series_queries.book, relational_queries.book, grid_queries.book, overlay_queries.book, retrieval_queries.book, feed_queries.book)
 
 
 def queries() -> dict[str, Query]:

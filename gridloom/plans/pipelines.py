@@ -12,9 +12,21 @@ from gridloom.operators import coverage, features, forecast, grid, series
 from gridloom.sources import connectors
 
 
-def retrieve(landed: DataFrame, source: str, ordinal: str = "ordinal") -> DataFrame:
-    """A source's landed rows to clean code, ts, value; of rows of one time the first by the ordinal."""
-    return series.clean(connectors.extract(landed, source, ordinal), ["code"], "ts", "value", ordinal).select("code", "ts", "value")
+def retrieve(landed: DataFrame, source: str, ordinal: str | None = "ordinal") -> DataFrame:
+    """A source's landed rows to clean code, ts, value; of rows of one time the first by the ordinal, or without one the least value."""
+    return series.clean(connectors.extract(landed, source, ordinal), ["code"], "ts", "value", ordinal or "value").select("code", "ts", "value")
+
+
+def retrieve_formats(parts: dict[str, DataFrame], ordinal: str = "ordinal") -> DataFrame:
+    """Landed rows of a source in several formats, each a connector of its own, to clean code, ts, value; of rows of one time the first
+    format's, and of those the first by the ordinal."""
+    rows = None
+    for k, (source, landed) in enumerate(parts.items()):
+        own = connectors.extract(landed, source, ordinal).select("code", "ts", "value", F.struct(F.lit(k).alias("part"), F.col(ordinal).cast("long").alias("at")).alias("_order"))
+        rows = own if rows is None else rows.unionByName(own)
+    if rows is None:
+        raise ValueError("no formats")
+    return series.clean(rows, ["code"], "ts", "value", "_order").select("code", "ts", "value")
 
 
 def temperature_database(weather: DataFrame, population: DataFrame, fractions: DataFrame, zones: DataFrame, mode: str = "pointwise") -> DataFrame:

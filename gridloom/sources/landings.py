@@ -119,3 +119,25 @@ def algeria(wide: DataFrame, day: str) -> DataFrame:
 def brazil(rows: DataFrame, subsystem: str = "id_subsistema") -> DataFrame:
     """Rows of all subsystems: those of the code's own, the part of the code after its first underscore."""
     return rows.filter(F.col(subsystem) == F.split_part("code", F.lit("_"), F.lit(2)))
+
+
+def western_australia(texts: DataFrame) -> DataFrame:
+    """CSV texts of a year of half hours: code, text to code, ts (local), load, ordinal."""
+    rows = readers.csv_text(texts, "text", "`Trading Interval` string, `Operational Demand (MW)` double", keep=["code"])
+    return rows.select("code", F.to_timestamp_ntz("Trading Interval", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), F.col("Operational Demand (MW)").alias("load"), "ordinal")
+
+
+def western_australia_days(answers: DataFrame) -> DataFrame:
+    """Answers of a day, with times that have an offset: code, text to code, asAtTimeStamp, operationalDemand, ordinal."""
+    return readers.json_path(answers, "text", "asAtTimeStamp string, operationalDemand double", ["data", "data"], ["code"], "ordinal")
+
+
+def ontario(texts: DataFrame) -> DataFrame:
+    """CSV texts of all years before May 2002: code, text to code, DateTime, OntarioDemand, ordinal."""
+    return readers.csv_text(texts, "text", "DateTime string, OntarioDemand double", keep=["code"])
+
+
+def ontario_years(texts: DataFrame) -> DataFrame:
+    """CSV texts of a year, below three lines: code, text to code, Date, Hour (from 1), load, ordinal."""
+    rows = readers.csv_text(texts, "text", "Date string, Hour int, market double, load double", 3, keep=["code"])
+    return rows.drop("market")

@@ -32,13 +32,22 @@ def csv(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str =
     return kept.select(F.from_csv("value", schema, {"sep": sep} | options).alias("r")).select("r.*")
 
 
-def json_path(df: DataFrame, text: str, schema: str, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """The records of the array at a key path of a JSON document, after the columns to keep. schema: of a record."""
+def csv_text(df: DataFrame, text: str, schema: str, skip: int = 0, header: bool = True, sep: str = ",", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, ordinal (of the line) and fields of landed CSV texts, below the lines to skip and the header. Empty lines and null
+    texts give none; a quoted line break ends a row."""
+    lines = F.split(F.col(text), r"\r?\n")
+    body = df.select(*keep, F.posexplode(F.slice(lines, skip + int(header) + 1, F.size(lines))).alias("ordinal", "_line")).filter(F.trim("_line") != "")
+    return body.select(*keep, "ordinal", F.from_csv("_line", schema, {"sep": sep}).alias("r")).select(*keep, "ordinal", "r.*")
+
+
+def json_path(df: DataFrame, text: str, schema: str, keys: Sequence[str], keep: Sequence[str] = (), position: str | None = None) -> DataFrame:
+    """The records of the array at a key path of a JSON document, after the columns to keep and, if it is named, the position. schema: of a record."""
     nested = f"array<struct<{schema}>>"
     for key in reversed(keys):
         nested = f"struct<`{key}`:{nested}>"
     whole = F.from_json(F.col(text), nested)
-    return df.select(*keep, F.explode(whole.getField(keys[0]) if len(keys) == 1 else _descend(whole, keys)).alias("r")).select(*keep, "r.*")
+    rows = df.select(*keep, F.posexplode(_descend(whole, keys)).alias(position or "_n", "r"))
+    return rows.select(*keep, *[position] * bool(position), "r.*")
 
 
 def _descend(column: Column, keys: Sequence[str]) -> Column:

@@ -3,8 +3,10 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+
 from gridloom.plans import pipelines
-from gridloom.sources import landings
+from gridloom.sources import landings, readers
 
 
 def clean(landed, source, ordinal="ordinal"):
@@ -73,3 +75,24 @@ def test_algeria_and_brazil(spark):
     assert clean(landings.algeria(wide, "day"), "sonelgaz") == [(datetime(2024, 1, 1) + timedelta(hours=h), h + 1.0) for h in range(24)]
     rows = spark.createDataFrame([("BR_SE", "SE", "2024-01-01 00:00:00", 5.0, 0), ("BR_SE", "NE", "2024-01-01 00:00:00", 6.0, 1)], "code string, id_subsistema string, din_instante string, val_cargaenergiahomwmed double, ordinal int")
     assert clean(landings.brazil(rows), "ons") == [(datetime(2024, 1, 1, 4), 5.0)]
+
+
+def test_csv_texts(spark):
+    texts = spark.createDataFrame([("A", 'note\r\nx,y\r\n1,"a,b"\r\n\r\n2,c'), ("B", "note\nx,y"), ("C", "note"), ("D", ""), ("E", None)], "code string, text string")
+    got = readers.csv_text(texts, "text", "x int, y string", 1, keep=["code"]).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [("A", 0, 1, "a,b"), ("A", 2, 2, "c")]
+    assert [tuple(r) for r in readers.csv_text(texts, "text", "x string", header=False, sep=";").filter("ordinal = 0 and x = 'note'").select("x").collect()] == [("note",)] * 3
+
+
+def test_formats_of_a_source(spark):
+    """Of an instant that both formats have, the first one's value counts; folds and gaps are missing in either; empty answers give none."""
+    old = spark.createDataFrame([("CA_ON", "DateTime,OntarioDemand\n2002-04-30 22:00,1\n2002-04-30 23:00,2\n2002-04-07 02:00,9\n2001-10-28 01:00,9\n")], "code string, text string")
+    new = spark.createDataFrame([("CA_ON", "a\nb\nc\nDate,Hour,Market Demand,Ontario Demand\n2002-05-01,1,0,3\n2002-05-01,2,0,4\n2002-05-01,2,0,5\n"), ("CA_ON", "")], "code string, text string")
+    got = pipelines.retrieve_formats({"ieso": landings.ontario(old), "ieso_new": landings.ontario_years(new)}).orderBy("ts").collect()
+    assert [(r.ts, r.value) for r in got] == [(datetime(2002, 5, 1, 3), 1.0), (datetime(2002, 5, 1, 4), 2.0), (datetime(2002, 5, 1, 5), 4.0)]
+    with pytest.raises(ValueError, match="no formats"):
+        pipelines.retrieve_formats({})
+    texts = spark.createDataFrame([("AU_WA", "Trading Interval,Operational Demand (MW)\n2023-01-01 08:00:00,7\n")], "code string, text string")
+    answers = spark.createDataFrame([("AU_WA", '{"data":{"data":[{"asAtTimeStamp":"2023-01-01T08:30:00+08:00","operationalDemand":8},{"asAtTimeStamp":"2023-01-01T09:00:00+08:00","operationalDemand":9}]}}'), ("AU_WA", "{}")], "code string, text string")
+    got = pipelines.retrieve_formats({"aemo_wem": landings.western_australia(texts), "aemo_wem_new": landings.western_australia_days(answers)}).orderBy("ts").collect()
+    assert [(r.ts, r.value) for r in got] == [(datetime(2023, 1, 1, 0, 30), 7.0), (datetime(2023, 1, 1, 1), 9.0)]
