@@ -103,3 +103,13 @@ def test_nearest_names(spark, distance):
     rows = fuzzy.nearest_names(spark.createDataFrame(asked, "k long, asked string"), spark.createDataFrame([(n,) for n in known], "name string"), distance).collect()
     best = lambda a: min(((edits(a, n), n) for n in known if n is not None and edits(a, n) <= distance), default=(None, None)) if a is not None else (None, None)
     assert sorted((r.k, r.asked or "", r.distance, r.name) for r in rows) == sorted((k, a or "", *best(a)) for k, a in asked)
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    """Their size is far beyond the planner's estimate, which is that of the names."""
+    names = spark.range(100).select(F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
+    found = fuzzy.nearest_names(names.select(F.lit(1).alias("k"), F.concat("name", F.lit("x")).alias("asked")), names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_part" in line and "Exec" not in line]
+    assert any("SortMergeJoin" in j for j in joins) and not any("Broadcast" in j for j in joins)
+    assert [(r.asked, r.name, r.distance) for r in found.orderBy("asked").take(2)] == [("Customer#000000000x", "Customer#000000000", 1), ("Customer#000000001x", "Customer#000000001", 1)]
