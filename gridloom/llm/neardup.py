@@ -40,8 +40,8 @@ from gridloom.llm.shared import Words, discard, free_name, keyed, map_rows, mix,
 REGISTERS, BANDS, SMALL, ROUNDS = 144, 24, 32, 2
 #: Rounds in which one pair of each two classes is compared, before all pairs of the classes that are still two.
 CENTRES = 3
-#: Counters of shingles, by hash, for the order of the prefix filter; members of a block of a hot shingle.
-COUNTERS, BLOCK = 1 << 20, 2000
+#: Counters of shingles, by hash, for the order of the prefix filter, and those that a row holds; members of a block of a hot shingle.
+COUNTERS, SLICE, BLOCK = 1 << 20, 1 << 12, 2000
 #: Words of 64 parity bits of a set: each shingle turns one over, so two sets' bits differ in at most as many places as the sets do.
 MAPS = 16
 MAP = [f"m{k}" for k in range(MAPS)]
@@ -156,22 +156,41 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def _counters(members: DataFrame) -> np.ndarray:
-    """How many shingles of members(shingles) fall on each of COUNTERS counters."""
+#: A slice of SLICE counters, of which those that are not 0: places (2 bytes each) and numbers (8 bytes each).
+SLICED = "slice int, at binary, n binary"
+
+
+def _sliced(k: int, part: np.ndarray) -> list[pa.Array]:
+    return [pa.array([k], pa.int32()), pa.array([np.flatnonzero(part).astype("<u2").tobytes()], pa.binary()), pa.array([part[part > 0].astype("<i8").tobytes()], pa.binary())]
+
+
+def counted(members: DataFrame) -> DataFrame:
+    """SLICED: how many shingles of members(shingles) fall on each of COUNTERS counters, by partition, each of which makes a row a slice, however many sets it has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for packed in batch.column(0):
                 np.add.at(total, (_set(packed.as_py()) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["at", "n"])
+        parts = total.reshape(-1, SLICE)
+        for k in np.flatnonzero(parts.any(1)):
+            yield pa.RecordBatch.from_arrays(_sliced(k, parts[k]), names=["slice", "at", "n"])
+
+    return members.select("shingles").mapInArrow(run, SLICED)
+
+
+def _counters(members: DataFrame) -> np.ndarray:
+    """How many shingles of members(shingles) fall on each of COUNTERS counters."""
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
+        for at, n in zip(rows["at"], rows["n"]):
+            total[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(n.as_py(), "<i8")
+        return pa.Table.from_arrays(_sliced(rows["slice"][0].as_py(), total), names=["slice", "at", "n"])
 
-    found = members.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    for row in counted(members).groupBy("slice").applyInArrow(added, SLICED).collect():
+        out[row["slice"] * SLICE + np.frombuffer(row["at"], "<u2").astype(np.int64)] = np.frombuffer(row["n"], "<i8")
     return out
 
 

@@ -148,3 +148,12 @@ def test_recall_by_similarity(spark, small):
                 bands[max(b for b in bands if b <= s)].append(got[i] == got[j])
     print("pairs in one class, of all, by similarity", {b: (sum(v), len(v)) for b, v in bands.items()})
     assert all(bands[0.8]) and all(bands[0.9]) and [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_counters_take_a_row_a_slice(spark):
+    sets = [sorted(random.Random(k).sample(range(1 << 40), 2000)) for k in range(40)] + [[7, 7 + (1 << 20), 1 << 39]]
+    packed = [bytes(np.array([x >> 8 for x in own], "<u4").tobytes() + np.array([x & 255 for x in own], np.uint8).tobytes()) for own in sets]
+    members = spark.createDataFrame([(p,) for p in packed], "shingles binary").repartition(4)
+    assert neardup.counted(members).count() <= 4 * neardup.COUNTERS // neardup.SLICE  # of 80,003 shingles
+    truth = np.bincount([x % neardup.COUNTERS for own in sets for x in own], minlength=neardup.COUNTERS)
+    assert (neardup._counters(members) == truth).all()
