@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,8 +253,7 @@ def _tile_chains(pdf: pd.DataFrame, size: float, steps: Sequence[Step], wanted:
         inner = {q: q[0] not in (west, west + size) and q[1] not in (south, south + size) for q in {tuple(r) for r in border[:, :2].tolist()} | {tuple(r) for r in border[:, 2:].tolist()}}
         for closed, points in _chains(border, inner):
             (ax, ay), (bx, by), (yx, yy), (zx, zy) = points[0], points[1], points[-2], points[-1]
-            row = [{"x": x, "y": y} for x, y in points]
-            out.append((layer, closed, row, points[0] in corners, points[-1] in corners, math.atan2(by - ay, bx - ax), math.atan2(yy - zy, yx - zx)))
+            out.append((layer, closed, points, points[0] in corners, points[-1] in corners, math.atan2(by - ay, bx - ax), math.atan2(yy - zy, yx - zx)))
     return out
 
 
@@ -261,7 +261,12 @@ def _tile_chains(pdf: pd.DataFrame, size: float, steps: Sequence[Step], wanted:
 
 
 def arranged(shapes: DataFrame, steps: Sequence[Step], wanted: Sequence[str], tile: float = 8.0) -> DataFrame:
-    """shapes(key, layer, rings) to key, layer, rings of the wanted layers after the steps, which are done in order within each key.
+    """`ringed`, with all rings of a key's layer in one row: key, layer, rings."""
+    return ringed(shapes, steps, wanted, tile).groupBy("key", "layer").agg(F.sort_array(F.collect_list("ring")).alias("rings"))
+
+
+def ringed(shapes: DataFrame, steps: Sequence[Step], wanted: Sequence[str], tile: float = 8.0) -> DataFrame:
+    """shapes(key, layer, rings) to key, layer, ring of the wanted layers after the steps, which are done in order within each key; a row a ring.
 
     A step is (op, layer, other): "cut" takes the other from the layer, "keep" leaves what both have, "add" what either has, "differ" what one of
     them has. tile: the size of a tile, a power of two; smaller ones are taken where it would hold too many edges.
@@ -273,7 +278,8 @@ def arranged(shapes: DataFrame, steps: Sequence[Step], wanted: Sequence[str], ti
         raise ValueError(f"unknown steps: {sorted(unknown)}")
     lines = lineage_cut(edges(shapes.select("key", "layer", "rings"), ["key", "layer"]))
     size = fitting_tile(lines, tile, ["key"])
-    pieces = cut_at_lines(lines, size).withColumns({"tx": cell_of("x", size), "ty": cell_of("y", size)})
+    # a table of its own, as it is read for the tiles and, thrice, for their corners
+    pieces = lineage_cut(cut_at_lines(lines, size).withColumns({"tx": cell_of("x", size), "ty": cell_of("y", size)}))
 
     # how often a layer winds around a tile's lower left corner: what the row's tiles to the west have on its lower line
     low = F.least("y1", "y2")
@@ -287,19 +293,24 @@ def arranged(shapes: DataFrame, steps: Sequence[Step], wanted: Sequence[str], ti
 
     rows = pieces.unionByName(corners, allowMissingColumns=True)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _tile_chains(pdf, size, steps, wanted)
-        out = pd.DataFrame(found, columns=["layer", "closed", "points", "real", "real_end", "leaves", "comes"])
-        out.insert(0, "key", pdf["key"].iat[0])
-        return out
+    def solve(own: pa.Table) -> pa.Table:
+        # rows of Arrow, as pandas would turn each point into a dictionary and back
+        found = _tile_chains(own.to_pandas(), size, steps, wanted)
+        layer, closed, points, *rest = zip(*found) if found else [()] * 7
+        x, y = np.array([q for row in points for q in row], float).reshape(-1, 2).T
+        offsets = np.cumsum([0, *map(len, points)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+        key = own["key"].take(pa.array([0] * len(found), pa.int64()))
+        flags = [pa.array(v, pa.bool_()) for v in (closed, *rest[:2])]
+        return pa.table({"key": key, "layer": pa.array(layer, pa.string()), "closed": flags[0], "points": lists, "real": flags[1], "real_end": flags[2], "leaves": pa.array(rest[2], pa.float64()), "comes": pa.array(rest[3], pa.float64())})
 
     key_type = dict(shapes.dtypes)["key"]
-    chains = rows.groupBy("key", "ty", "tx").applyInPandas(solve, f"key {key_type}, layer string, {CHAINS}")
+    chains = rows.groupBy("key", "ty", "tx").applyInArrow(solve, f"key {key_type}, layer string, {CHAINS}")
     return _rings(lineage_cut(chains.withColumn("id", F.monotonically_increasing_id())))
 
 
 def _rings(chains: DataFrame) -> DataFrame:
-    """key, layer, rings: closed chains as they are, the others followed from tile to tile."""
+    """key, layer, ring: closed chains as they are, the others followed from tile to tile."""
     whole = chains.filter("closed").select("key", "layer", F.col("points").alias("ring"))
     open_ = chains.filter("not closed")
     first, last = F.col("points")[0], F.element_at("points", -1)
@@ -321,8 +332,7 @@ def _rings(chains: DataFrame) -> DataFrame:
     own = F.slice("points", F.when(F.col("straight"), 2).otherwise(1), F.size("points") - F.when(F.col("straight"), 2).otherwise(1))
     placed = parts.select("key", "layer", "ring", F.struct("place", own.alias("points")).alias("part"))
     linked = placed.groupBy("key", "layer", "ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["points"])).alias("points"))
-    every = whole.unionByName(linked.select("key", "layer", F.col("points").alias("ring"))).filter(F.size("ring") > 2)
-    return every.groupBy("key", "layer").agg(F.sort_array(F.collect_list("ring")).alias("rings"))
+    return whole.unionByName(linked.select("key", "layer", F.col("points").alias("ring"))).filter(F.size("ring") > 2)
 
 
 def followed(links: DataFrame) -> DataFrame:
@@ -381,3 +391,8 @@ def measured(shapes: DataFrame) -> DataFrame:
     """code, area, border, n_rings of each shape."""
     total = lambda f: F.aggregate(F.transform("rings", f), F.lit(0.0), lambda s, t: s + t)
     return shapes.select("code", total(ring_area).alias("area"), total(ring_length).alias("border"), F.size("rings").cast("long").alias("n_rings"))
+
+
+def measured_rings(rings: DataFrame, *by: str) -> DataFrame:
+    """by, area, border, n_rings of rings(by, ring), of which none but the sums are gathered."""
+    return rings.groupBy(*by).agg(F.sum(ring_area(F.col("ring"))).alias("area"), F.sum(ring_length(F.col("ring"))).alias("border"), F.count(F.lit(1)).alias("n_rings"))

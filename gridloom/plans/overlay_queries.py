@@ -50,10 +50,10 @@ def polygon_overlay(t: Tables) -> DataFrame:
     side = lambda df, name: df.select(F.col("code").alias("key"), F.lit(name).alias("layer"), "rings")
     how = {"difference": "cut", "intersection": "keep", "both": "add", "symmetric": "differ"}
     steps = [s for name, op in how.items() for s in (("add", name, "left"), (op, name, "right"))]
-    made = overlay.arranged(side(left, "left").unionByName(side(right, "right")), steps, list(how), 64.0)
-    areas = overlay.measured(made.select(F.struct("key", "layer").alias("code"), "rings"))
-    columns = [F.coalesce(F.round(F.sum(F.when(F.col("code.layer") == n, F.col("area"))), 6), F.lit(0.0)).alias(n) for n in how]
-    return areas.groupBy(F.col("code.key").alias("code")).agg(*columns)
+    made = overlay.ringed(side(left, "left").unionByName(side(right, "right")), steps, list(how), 64.0)
+    areas = overlay.measured_rings(made, "key", "layer")
+    columns = [F.coalesce(F.round(F.sum(F.when(F.col("layer") == n, F.col("area"))), 6), F.lit(0.0)).alias(n) for n in how]
+    return areas.groupBy(F.col("key").alias("code")).agg(*columns)
 
 
 @book.add(
@@ -91,8 +91,9 @@ def subdivided(t: Tables) -> DataFrame:
     top = t.part.agg((F.max(F.floor(k / 80)) * 3 + 9).alias("top"))
     bounds = top.select(F.lit("bounds").alias("code"), F.array(rectangle(F.lit(30), F.lit(-1), F.lit(200), F.col("top"))).alias("rings"))
     gap = top.select(F.lit("gap").alias("code"), F.array(rectangle(F.lit(100), F.lit(3), F.lit(140), F.lit(40))).alias("rings"))
-    made = overlay.subdivide(own.unionByName(bounds).unionByName(gap), YIELDS, list("ABCD"), 64.0)
-    return overlay.measured(made).select("code", F.round("area", 6).alias("area"))
+    shapes = own.unionByName(bounds).unionByName(gap).select(F.lit(0).alias("key"), F.col("code").alias("layer"), "rings")
+    made = overlay.ringed(shapes, YIELDS, list("ABCD"), 64.0)
+    return overlay.measured_rings(made, "layer").select(F.col("layer").alias("code"), F.round("area", 6).alias("area"))
 
 
 #: For each supplier a rectangle, one with a hole, or a triangle.

@@ -170,3 +170,11 @@ def test_fractions_need_no_python(spark):
 def test_lineage_cut(spark):
     df = lineage_cut(spark.range(5).withColumn("x", F.rand()))
     assert sorted(df.collect()) == sorted(df.collect()) and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_gather_no_whole_shape(spark, small):
+    """Rings are measured one by one; a shape of millions of them would be one row."""
+    from gridloom.plans import catalogue
+
+    for query in ("polygon_overlay", "subdivided"):
+        assert "collect_list(ring" not in catalogue.queries()[query](spark, small)._jdf.queryExecution().optimizedPlan().toString()
